@@ -1,8 +1,59 @@
-"""Corpus pipeline: stages over documents."""
+"""Corpus pipeline over documents: language, quality, near duplicates, mixture, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. run() writes each stage's
+result to the folder that executors share and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import default_tokenizer, digests, encode_decode
+from tessera.llm.common import materialize
+from tessera.llm.partenum import deduplicate
+from tessera.llm.pfair_mix import mixed
+from tessera.llm.ppm import identify_languages
+from tessera.llm.quality_rules import apply_quality_rules
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language is doubtful if its posterior is lower.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; those without a letter or with a doubtful language go."""
+    found = identify_languages(docs, docs)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that too many texts of their host share."""
+    return apply_quality_rules(docs).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each class of near duplicates (five-word shingles, similarity 0.8)."""
+    return deduplicate(docs, n=5, percent=80).select(COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order in which blocks of their sources take turns by weight."""
+    return mixed(docs).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of ids and decoded texts."""
+    return digests(encode_decode(docs, default_tokenizer()))
+
+
+STAGES = [("language ID", language_id), ("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("mixing", mixture), ("BPE", tokens)]
+#: SQL can express neither PPM nor BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
