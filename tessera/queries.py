@@ -1,6 +1,602 @@
-"""Catalogue of the engine's queries with their SQL."""
+"""Catalogue of the engine's queries, each with the SQL that an independent engine runs on the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.catalog import engine, kernel
+from tessera.decisions import calibration, claims, packs, trust
+from tessera.errors import Refusal
+from tessera.functions.hashing import row_id
+from tessera.metrics import compiler, freshness, lineage
+from tessera.operators import access, citations, documents, evidence, federation, text_search, vector_search
+from tessera.plans import packs as role_packs
+from tessera.plans.guard import check, guarded_sql
+from tessera.plans.semantic_plan import compile_plan
+from tessera.streaming import events as metadata
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+W = "warehouse"
+#: Reference day of periods and ages; the orders end on 2001-08-01.
+REFERENCE = "2001-07-15"
+
+
+def _add(name: str, query: Query, sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = " ".join(sql.split())
+
+
+# Structured plans -------------------------------------------------------------------------------------------------
+
+_ORDER_CUSTOMER = {"left": f"{W}.orders.customer_id", "right": f"{W}.customer.customer_id"}
+_CUSTOMER_NATION = {"left": f"{W}.customer.nation_id", "right": f"{W}.nation.nation_id"}
+_NATION_REGION = {"left": f"{W}.nation.region_id", "right": f"{W}.region.region_id"}
+
+
+def _plan(name: str, sql: str, rounded: tuple[str, ...] = (), **plan) -> None:
+    def query(spark, sf_dir):
+        df = compile_plan(spark, engine(spark, sf_dir).contract, plan)
+        return df.withColumns({c: F.round(c, 2) for c in rounded})
+
+    _add(name, query, sql)
+
+
+def _f(path: str, aggregation: str | None = None, alias: str | None = None) -> dict:
+    return {k: v for k, v in (("field", f"{W}.{path}"), ("aggregation", aggregation), ("alias", alias)) if v}
+
+
+def _o(field: str, direction: str = "asc") -> dict:
+    return {"field": field if "." not in field else f"{W}.{field}", "direction": direction}
+
+
+def _w(path: str, operator: str, value) -> dict:
+    return {"field": f"{W}.{path}", "operator": operator, "value": value}
+
+
+_SEGMENT_PLAN = {
+    "select": [_f("customer.segment"), _f("orders.total_price", "sum", "revenue")], "joins": [_ORDER_CUSTOMER], "filters": [_w("orders.order_status", "=", "F")], "group_by": [f"{W}.customer.segment"],
+    "order_by": [_o("revenue", "desc"), _o("segment")],
+}
+_SEGMENT_SQL = "select c_mktsegment as segment, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' {} group by 1"
+_plan("plan_flagship", _SEGMENT_SQL.format("and c_mktsegment <> 'BUILDING'"), ("revenue",), **_SEGMENT_PLAN, limit=10)
+_plan("plan_exclusion_off", _SEGMENT_SQL.format(""), ("revenue",), **_SEGMENT_PLAN, apply_global_rules=False)
+_plan(
+    "plan_filter_ops", """select o_orderkey as order_id, o_totalprice as total_price from orders where o_totalprice > 1000 and o_totalprice <= 300000 and o_orderkey >= 10 and o_orderkey < 5000
+    and o_orderstatus <> 'F' and o_orderpriority = '5-LOW' order by o_orderkey limit 100""",
+    select=[_f("orders.order_id"), _f("orders.total_price")], order_by=[_o("order_id")],
+    filters=[_w("orders.total_price", ">", 1000), _w("orders.total_price", "<=", 300000), _w("orders.order_id", ">=", 10), _w("orders.order_id", "<", 5000), _w("orders.order_status", "!=", "F"), _w("orders.priority", "=", "5-LOW")],
+)
+_plan(
+    "plan_in", "select o_orderpriority as priority, count(o_orderkey) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus in ('F', 'O') group by 1",
+    select=[_f("orders.priority"), _f("orders.order_id", "count", "n")], filters=[_w("orders.priority", "in", ["1-URGENT", "2-HIGH"]), _w("orders.order_status", "in", ["F", "O"])], group_by=[f"{W}.orders.priority"],
+)
+_plan("plan_global_agg", "select count(l_orderkey) as n, round(sum(l_quantity), 2) as units from lineitem", ("units",), select=[_f("lineitem.order_id", "count", "n"), _f("lineitem.quantity", "sum", "units")])
+_plan(
+    "plan_multi_agg", """select l_returnflag as return_flag, l_linestatus as line_status, round(sum(l_quantity), 2) as units, round(avg(l_extendedprice), 2) as mean_price, min(l_discount) as least, max(l_tax) as most,
+    count(l_orderkey) as n from lineitem group by 1, 2""", ("units", "mean_price"),
+    select=[_f("lineitem.return_flag"), _f("lineitem.line_status"), _f("lineitem.quantity", "sum", "units"), _f("lineitem.extended_price", "avg", "mean_price"), _f("lineitem.discount", "min", "least"), _f("lineitem.tax", "max", "most"), _f("lineitem.order_id", "count", "n")],
+    group_by=[f"{W}.lineitem.return_flag", f"{W}.lineitem.line_status"], order_by=[_o("return_flag"), _o("line_status")],
+)
+_plan(
+    "plan_join2", "select n_name as nation_name, count(o_orderkey) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where c_mktsegment <> 'BUILDING' group by 1",
+    select=[_f("nation.nation_name"), _f("orders.order_id", "count", "n")], joins=[_ORDER_CUSTOMER, _CUSTOMER_NATION], group_by=[f"{W}.nation.nation_name"], order_by=[_o("nation_name")],
+)
+_plan(
+    "plan_join3", """select r_name as region_name, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+    join region on n_regionkey = r_regionkey where c_mktsegment <> 'BUILDING' and o_orderstatus = 'O' group by 1""", ("revenue",),
+    select=[_f("region.region_name"), _f("orders.total_price", "sum", "revenue")], joins=[_NATION_REGION, _CUSTOMER_NATION, _ORDER_CUSTOMER], filters=[_w("orders.order_status", "=", "O")], group_by=[f"{W}.region.region_name"],
+)
+_plan(
+    "plan_topk", "select o_orderkey as order_id, o_custkey as customer_id, o_totalprice as total_price from orders order by o_totalprice desc, o_orderkey limit 15",
+    select=[_f("orders.order_id"), _f("orders.customer_id"), _f("orders.total_price")], order_by=[_o("total_price", "desc"), _o("order_id")], limit=15,
+)
+_plan("plan_distinct_groups", "select distinct o_orderstatus as order_status, o_orderpriority as priority from orders", select=[_f("orders.order_status"), _f("orders.priority")], group_by=[f"{W}.orders.order_status", f"{W}.orders.priority"])
+
+
+# Metrics ----------------------------------------------------------------------------------------------------------
+
+
+def _metric(name: str, metric: str, sql: str, digits: int | None = 2, rules: bool = True, **request) -> None:
+    def query(spark, sf_dir):
+        e = engine(spark, sf_dir)
+        df = compiler.compile_metric(kernel(), lambda t: e.contract.table(spark, t), kernel().metrics[metric], name="value", **request).df
+        if "time_bucket" in df.columns:
+            df = df.withColumn("time_bucket", F.col("time_bucket").cast("string"))
+        return df if digits is None else df.withColumn("value", F.round("value", digits))
+
+    _add(name, query, sql)
+
+
+_metric("metric_sum", "gross_sales", "select round(sum(o_totalprice), 2) as value from orders")
+_metric("metric_count", "order_count", "select count(o_orderkey) as value from orders", None)
+_metric("metric_avg", "mean_order", "select round(avg(o_totalprice), 2) as value from orders")
+_metric("metric_min", "least_order", "select min(o_totalprice) as value from orders", None)
+_metric("metric_max", "most_order", "select max(o_totalprice) as value from orders", None)
+_metric("metric_count_distinct", "buyers", "select count(distinct o_custkey) as value from orders", None)
+_metric("metric_rule_filter", "final_sales", "select round(sum(o_totalprice), 2) as value from orders where o_orderstatus = 'F'")
+_metric("metric_rule_override", "final_sales", "select round(sum(o_totalprice), 2) as value from orders where o_orderstatus = 'P'", filters={"order_status": "P"})
+_metric("metric_by_dim", "gross_sales", "select o_orderstatus as order_status, o_orderpriority as priority, round(sum(o_totalprice), 2) as value from orders group by 1, 2", dimensions=("status", "priority"))
+_metric("metric_by_joined_dim", "buyers", "select c_mktsegment as segment, count(distinct o_custkey) as value from orders join customer on o_custkey = c_custkey where c_mktsegment <> 'BUILDING' group by 1", None, dimensions=("segment",))
+_metric("metric_by_2hop_dim", "gross_sales", """select n_name as nation_name, round(sum(o_totalprice), 2) as value from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+    where c_mktsegment <> 'BUILDING' group by 1""", dimensions=("nation",))
+_metric("metric_by_3hop_dim", "final_sales", """select r_name as region_name, c_mktsegment as segment, round(sum(o_totalprice), 2) as value from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+    join region on n_regionkey = r_regionkey where c_mktsegment <> 'BUILDING' and o_orderstatus = 'F' group by 1, 2""", dimensions=("region", "segment"))
+_metric("metric_4hop_dim", "units", """select r_name as region_name, round(sum(l_quantity), 2) as value from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_mktsegment <> 'BUILDING' group by 1""", dimensions=("region",))
+_metric("metric_two_paths", "units", """select p_brand as brand, o_orderstatus as order_status, round(sum(l_quantity), 2) as value from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey
+    group by 1, 2 order by 1, 2 limit 100""", dimensions=("brand", "status"))
+_metric("derived_aov", "average_order", "select o_orderstatus as order_status, round(sum(o_totalprice) / count(o_orderkey), 2) as value from orders group by 1", dimensions=("status",))
+_metric("derived_per_customer", "sales_per_buyer", "select round(sum(o_totalprice) / count(distinct o_custkey), 2) as value from orders")
+_metric("derived_difference", "spread", "select o_orderpriority as priority, round(max(o_totalprice) - min(o_totalprice), 2) as value from orders group by 1", dimensions=("priority",))
+_metric("derived_nested", "nested", """select o_orderstatus as order_status, round((sum(o_totalprice) / count(o_orderkey) - min(o_totalprice)) / (max(o_totalprice) - min(o_totalprice)) * 100, 4) as value
+    from orders group by 1""", 4, dimensions=("status",))
+_metric("derived_zero_division", "undefined", "select o_orderstatus as order_status, cast(null as double) as value from orders group by 1", None, dimensions=("status",))
+_metric("derived_count_distinct_ratio", "lines_per_order", "select l_returnflag as return_flag, round(count(l_orderkey) / count(distinct l_orderkey), 6) as value from lineitem group by 1", 6, dimensions=("flag",))
+for _grain in ("day", "week", "month"):
+    _metric(f"grain_{_grain}", "gross_sales", f"select cast(date_trunc('{_grain}', o_orderdate) as date)::varchar as time_bucket, round(sum(o_totalprice), 2) as value from orders group by 1 order by 1 limit 100", grain=_grain)
+_metric("grain_month_by_dim", "units", "select l_returnflag as return_flag, cast(date_trunc('month', l_shipdate) as date)::varchar as time_bucket, round(sum(l_quantity), 2) as value from lineitem group by 1, 2 order by 1, 2 limit 100", dimensions=("flag",), grain="month")
+for _period, _since, _until in (("last_30_days", "2001-06-16", "2001-07-16"), ("ytd", "2001-01-01", "2001-07-16"), ("prior_period", "2001-06-01", "2001-07-01")):
+    _metric(f"period_{_period}", "gross_sales", f"select round(sum(o_totalprice), 2) as value from orders where o_orderdate >= date '{_since}' and o_orderdate < date '{_until}'", period=_period, reference_date=REFERENCE)
+
+
+def _freshness(spark, sf_dir):
+    df = engine(spark, sf_dir).contract.table(spark, "orders")
+    return freshness.freshness(df, "order_date", "2001-08-20", 10).withColumn("last_day", F.col("last_day").cast("string"))
+
+
+_add("freshness_age", _freshness, "select cast(max(o_orderdate) as date)::varchar as last_day, date_diff('day', cast(max(o_orderdate) as date), date '2001-08-20') as age_days, date_diff('day', cast(max(o_orderdate) as date), date '2001-08-20') > 10 as stale from orders")
+
+
+def _fan_out(spark, sf_dir):
+    """For each measure and dimension whether the guard lets them meet."""
+    rows = []
+    for m in ("balance", "order_count", "gross_sales"):
+        for d in ("status", "segment"):
+            try:
+                compiler.compile_metric(kernel(), lambda t: engine(spark, sf_dir).contract.table(spark, t), kernel().metrics[m], (d,))
+                rows.append((m, d, "allowed"))
+            except Refusal as e:
+                rows.append((m, d, e.code))
+    return spark.createDataFrame(rows, "metric string, dimension string, verdict string")
+
+
+_add("fanout_guard", _fan_out, """select * from (values ('balance', 'status', 'METRIC_FANOUT_BLOCKED'), ('balance', 'segment', 'allowed'), ('order_count', 'status', 'allowed'), ('order_count', 'segment', 'allowed'),
+    ('gross_sales', 'status', 'allowed'), ('gross_sales', 'segment', 'allowed')) t(metric, dimension, verdict)""")
+
+
+def _lineage(spark, sf_dir):
+    return lineage.closure(lineage.edges(spark, kernel()), ["metric:average_order"]).where("from_id like 'metric:%' or from_id like 'measure:%'")
+
+
+_add("lineage_edges", _lineage, """select * from (values ('metric:average_order', 'measure:total', 'uses_measure'), ('metric:average_order', 'measure:orders', 'uses_measure'), ('metric:average_order', 'dimension:status', 'allows_dimension'),
+    ('metric:average_order', 'dimension:segment', 'allows_dimension'), ('metric:average_order', 'dimension:region', 'allows_dimension'), ('measure:total', 'column:warehouse.orders.total_price', 'reads_column'),
+    ('measure:total', 'entity:order', 'of_entity'), ('measure:orders', 'column:warehouse.orders.order_id', 'reads_column'), ('measure:orders', 'entity:order', 'of_entity')) t(from_id, to_id, kind)""")
+
+
+# Role packs -------------------------------------------------------------------------------------------------------
+
+
+def _pack(name: str, terms: list[tuple[str, str, str]], kind: str, group_by: str | None, sql: str) -> None:
+    def query(spark, sf_dir):
+        df = role_packs.pack_metric(spark, engine(spark, sf_dir).contract, {"kind": kind, "terms": terms}, group_by and f"{W}.{group_by}")
+        return df.withColumn("value", F.round("value", 2))
+
+    _add(name, query, sql)
+
+
+role_packs.ROLES |= {
+    "line_price": {"for": ("gross price",), "against": ()}, "discount_rate": {"for": ("discount rate",), "against": ()}, "buyer": {"for": ("identifier for the buyer",), "against": ()},
+    "order_number": {"for": ("unique identifier for each order",), "against": ()}, "order_value": {"for": ("monetary value of the order",), "against": ()},
+}
+_pack("pack_units", [("+", "sum", "quantity")], "sum", "lineitem.return_flag", "select l_returnflag as return_flag, round(sum(l_quantity), 2) as value from lineitem group by 1")
+_pack("pack_difference", [("+", "sum", "line_price"), ("-", "sum", "discount_rate")], "difference", "lineitem.line_status", "select l_linestatus as line_status, round(sum(l_extendedprice) - sum(l_discount), 2) as value from lineitem group by 1")
+_pack("pack_average_order", [("+", "sum", "order_value"), ("/", "count", "order_number")], "ratio", "orders.priority", "select o_orderpriority as priority, round(sum(o_totalprice) / count(o_orderkey), 2) as value from orders group by 1")
+_pack("pack_orders_per_buyer", [("+", "count", "order_number"), ("/", "count", "buyer")], "ratio", None, "select round(count(o_orderkey) / count(o_custkey), 2) as value from orders")
+
+
+# Documents --------------------------------------------------------------------------------------------------------
+
+
+def _docs(name: str, sql: str, table: str = "events", **request) -> None:
+    _add(name, lambda spark, sf_dir: documents.query_documents(spark, engine(spark, sf_dir).contract, table, **request), sql)
+
+
+_EVENT = ["event_id", "event_type", "value"]
+_docs("doc_eq", "select event_id, event_type, value from events where event_type = 'error' order by event_id limit 50", filters={"event_type": "error"}, projection=_EVENT, sort=["event_id"], limit=50)
+_docs("doc_ne", "select event_id, event_type, value from events where event_type is distinct from 'error' and user_id is distinct from 8 order by event_id limit 50", filters={"event_type": {"ne": "error"}, f"{W}.events.user_id": {"ne": 8}}, projection=_EVENT, sort=["event_id"], limit=50)
+_docs("doc_in", "select event_id, event_type, value from events where event_type in ('error', 'click') order by event_id desc limit 40", filters={"event_type": {"in": ["error", "click"]}}, projection=_EVENT, sort=[["event_id", -1]], limit=40)
+_docs("doc_nin", "select event_id, event_type, value from events where event_type not in ('error', 'click') order by value desc, event_id limit 40", filters={"event_type": {"nin": ["error", "click"]}}, projection=_EVENT, sort=[["value", -1], ["event_id", 1]], limit=40)
+_docs("doc_range", "select event_id, event_type, value from events where value >= 5 and value < 20 and event_id > 100 and user_id <= 50 order by event_id limit 100", filters={"value": {"gte": 5, "lt": 20}, "event_id": {"gt": 100}, "user_id": {"lte": 50}}, projection=_EVENT, sort=["event_id"])
+_docs("doc_exists", "select event_id, event_type, value from events where props is not null order by event_id limit 20", filters={"props": {"exists": True}}, projection=_EVENT, sort=["event_id"], limit=20)
+_docs("doc_exclusion", "select c_custkey as customer_id, c_mktsegment as segment from customer where c_mktsegment is distinct from 'BUILDING' order by c_custkey limit 100", "customer", projection=["customer_id", "segment"], sort=["customer_id"])
+
+
+def _ne_keeps_null(spark, sf_dir):
+    df = engine(spark, sf_dir).contract.table(spark, "events").withColumn("kind", F.nullif("event_type", F.lit("click")))
+    return df.where(documents.clause(F.col("kind"), "ne", "error")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _json_field(spark, sf_dir):
+    df = engine(spark, sf_dir).contract.table(spark, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return df.where(documents.clause(F.col("k"), "gte", 50)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most"))
+
+
+_add("doc_ne_keeps_null", _ne_keeps_null, "select nullif(event_type, 'click') as kind, count(*) as n from events where nullif(event_type, 'click') is distinct from 'error' group by 1")
+_add("doc_json_field", _json_field, "select event_type, count(*) as n, max(cast(json_extract_string(props, '$.k') as bigint)) as most from events where cast(json_extract_string(props, '$.k') as bigint) >= 50 group by 1")
+
+
+# Text and vectors -------------------------------------------------------------------------------------------------
+
+
+def _text(spark, sf_dir, **request):
+    return text_search.search_text(spark, engine(spark, sf_dir).contract, "documents", **request).select("doc_id", "lang", F.round("_score", 6).alias("score"))
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_BM25 = f"""with d as (select doc_id, lang, source, {_TOKENS} as t from documents {{where}}), s as (select count(*) as n, avg(len(t)) as m from d),
+    q as (select unnest([{{terms}}]) as w), f as (select doc_id, lang, w, len(t) as l, len(list_filter(t, lambda x: x = w)) as tf from d, q),
+    df as (select w, count(*) filter (tf > 0) as df from f group by w)
+    select doc_id, lang, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) as score from f join df using (w), s group by doc_id, lang having sum(tf) > 0 order by score desc, doc_id limit {{k}}"""
+_add("text_bm25_topk", partial(_text, query="mit license released", limit=20), _BM25.format(where="", terms="'mit', 'license', 'released'", k=20))
+_add("text_bm25_filtered", partial(_text, query="Licensed UNDER apache", filters={"lang": ["en", "de"]}, limit=10), _BM25.format(where="where lang in ('en', 'de')", terms="'licensed', 'under', 'apache'", k=10))
+_add("text_term_filter", partial(_text, filters={"lang": "fr", "source": ["src1", "src2"]}, limit=30), "select doc_id, lang, 1.0::double as score from documents where lang = 'fr' and source in ('src1', 'src2') order by doc_id limit 30")
+
+
+def _vector(spark, sf_dir, metric="cosine", where=None, k=10):
+    df = engine(spark, sf_dir).contract.table(spark, "embeddings")
+    query = vector_search.stored_vector(df, "vec_id", "embedding", 7)
+    df = df.where(where) if where else df
+    return vector_search.top_k(df, "embedding", "vec_id", query, k, metric).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+_VECTOR = "with q as (select list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id = 7) select vec_id, label, round({}(list_transform(embedding, lambda x: x::double), v), 6) as score from embeddings, q {} order by {}(list_transform(embedding, lambda x: x::double), v) desc, vec_id limit {}"
+_add("vec_topk_dot", partial(_vector, metric="dot"), _VECTOR.format("list_dot_product", "", "list_dot_product", 10))
+_add("vec_topk_cosine", _vector, _VECTOR.format("list_cosine_similarity", "", "list_cosine_similarity", 10))
+_add("vec_topk_filtered", partial(_vector, where="label in (1, 2)", k=5), _VECTOR.format("list_cosine_similarity", "where label in (1, 2)", "list_cosine_similarity", 5))
+
+
+# Federation -------------------------------------------------------------------------------------------------------
+
+
+def _slices(spark, sf_dir):
+    """Two slices that share customer_name and nation_id: customers, and the same with some names and nations changed."""
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 60")
+    left = base.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_id"))
+    odd = F.col("c_custkey") % 3 == 0
+    right = base.where("c_custkey % 2 = 0").select(
+        F.when(odd, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.col("c_name")).alias("name"), F.when(odd, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("nation_id"), F.col("c_acctbal").alias("balance"),
+    )
+    return left, right
+
+
+def _fed(spark, sf_dir, strategy="exact", limit=None, nulls=False):
+    left, right = _slices(spark, sf_dir)
+    if nulls:
+        left = left.withColumn("name", F.when(F.col("customer_id") % 4 != 0, F.col("name")))
+    return federation.combine_slices(left, right, "name", "name", strategy, limit, (["customer_id"], ["balance", "name"])).drop("_conflicts")
+
+
+_FED = """with l as (select c_custkey as customer_id, {name} as name, c_nationkey as nation_id from customer where c_custkey < 60),
+    r as (select case when c_custkey % 3 = 0 then ' ' || upper(c_name) else c_name end as name, case when c_custkey % 3 = 0 then c_nationkey + 1 else c_nationkey end as nation_id, c_acctbal as balance
+    from customer where c_custkey < 60 and c_custkey % 2 = 0)
+    select l.customer_id as left_customer_id, l.name as left_name, l.nation_id as left_nation_id, r.name as right_name, r.nation_id as right_nation_id, r.balance as right_balance from l join r on {on}
+    order by l.customer_id, r.balance, r.name limit {n}"""
+_fed_sql = lambda on, n=100, name="c_name": _FED.format(on=on, n=n, name=name)
+_add("fed_exact", _fed, _fed_sql("l.name = r.name"))
+_add("fed_casefold", partial(_fed, strategy="casefold"), _fed_sql("lower(l.name) = lower(r.name)"))
+_add("fed_trimmed", partial(_fed, strategy="trimmed"), _fed_sql("lower(trim(l.name)) = lower(trim(r.name))"))
+_add("fed_bounded", partial(_fed, strategy="trimmed", limit=7), _fed_sql("lower(trim(l.name)) = lower(trim(r.name))", 7))
+_add("fed_null_keys", partial(_fed, nulls=True), _fed_sql("l.name = r.name", name="case when c_custkey % 4 <> 0 then c_name end"))
+
+
+def _fed_conflicts(spark, sf_dir):
+    left, right = _slices(spark, sf_dir)
+    joined = federation.combine_slices(left, right, "name", "name", "trimmed", None, (["customer_id"], ["balance", "name"]))
+    return federation.conflicts(joined, ["left_customer_id"])
+
+
+_add("fed_conflicts", _fed_conflicts, "select c_custkey as left_customer_id, 'nation_id' as field, c_nationkey::varchar as left, (c_nationkey + 1)::varchar as right from customer where c_custkey < 60 and c_custkey % 6 = 0")
+
+
+# Guarded SQL ------------------------------------------------------------------------------------------------------
+
+#: Tables under the contract's names, for the other engine.
+_VIEWS = {
+    "customer": "select c_custkey as customer_id, c_name as customer_name, c_nationkey as nation_id, c_mktsegment as segment, c_acctbal as account_balance from main.customer where c_mktsegment <> 'BUILDING'",
+    "orders": "select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as order_status, o_orderdate as order_date, o_orderpriority as priority, o_totalprice as total_price from main.orders",
+    "nation": "select n_nationkey as nation_id, n_name as nation_name, n_regionkey as region_id from main.nation", "region": "select r_regionkey as region_id, r_name as region_name from main.region",
+    "supplier": "select s_suppkey as supplier_id, s_name as supplier_name, s_nationkey as nation_id, s_acctbal as account_balance from main.supplier",
+    "lineitem": """select l_orderkey as order_id, l_partkey as part_id, l_suppkey as supplier_id, l_linenumber as line_number, l_quantity as quantity, l_extendedprice as extended_price, l_discount as discount, l_tax as tax,
+        l_returnflag as return_flag, l_linestatus as line_status, l_shipdate as ship_date from main.lineitem""",
+    "part": "select p_partkey as part_id, p_name as part_name, p_brand as brand, p_type as part_type, p_size as part_size, p_retailprice as retail_price from main.part", "events": "select * from main.events",
+}
+
+
+def _sql(name: str, sql: str, other: str | None = None) -> None:
+    """A pass-through query; other: its text in the other engine's dialect, if that differs."""
+    text = " ".join(sql.split())
+    used = [t for t in _VIEWS if f" {t}" in f" {text} "]
+    names = {t: f"v_{t}" for t in used}
+    body = " ".join((other or sql).split())
+    for t in sorted(used, key=len, reverse=True):
+        body = _replace_word(body, t, names[t])
+    views = ", ".join(f"{names[t]} as ({' '.join(_VIEWS[t].replace('main.', '').split())})" for t in used)
+    joined = f"with recursive {views}, {body[5:]}" if body.startswith("with ") else f"with {views} {body}"
+    _add(name, lambda spark, sf_dir: guarded_sql(spark, engine(spark, sf_dir).contract, text, 100)[0], f"select * from ({joined}) limit 100")
+
+
+def _replace_word(text: str, word: str, by: str) -> str:
+    import re
+
+    return re.sub(rf"(?<=from ){word}\b|(?<=join ){word}\b|(?<=, ){word} (?=[a-z]\b)", lambda m: by + (" " if m[0].endswith(" ") else ""), text)
+
+
+_sql("sql_left_join", "select c.segment, count(*) as n, count(o.order_id) as matched from customer c left join orders o on o.customer_id = c.customer_id and o.total_price > 400000 group by c.segment")
+_sql("sql_right_join", "select n.nation_name, count(s.supplier_id) as n from supplier s right join nation n on s.nation_id = n.nation_id and s.account_balance > 5000 group by n.nation_name")
+_sql("sql_full_join", "select coalesce(a.k, b.k) as k, a.n as a_n, b.n as b_n from (select nation_id as k, count(*) as n from customer where nation_id < 15 group by nation_id) a full join (select nation_id as k, count(*) as n from supplier where nation_id > 8 group by nation_id) b on a.k = b.k")
+_sql("sql_cross_join", "select r.region_name, n.nation_name from region r cross join nation n where n.nation_id < 4")
+_sql("sql_semi_join", "select count(*) as n from customer c left semi join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000", "select count(*) as n from customer c semi join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000")
+_sql("sql_anti_join", "select count(*) as n from customer c left anti join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000", "select count(*) as n from customer c anti join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000")
+_sql("sql_theta_join", "select count(*) as n from nation a join nation b on a.nation_id < b.nation_id and a.region_id <> b.region_id")
+_sql("sql_self_join", "select a.region_id, count(*) as n from nation a join nation b on a.region_id = b.region_id and a.nation_id < b.nation_id group by a.region_id")
+_sql("sql_having", "select customer_id, count(*) as n, round(sum(total_price), 2) as spent from orders group by customer_id having count(*) > 18 order by n desc, customer_id limit 20")
+_sql("sql_rollup", "select order_status, priority, count(*) as n from orders group by rollup(order_status, priority)")
+_sql("sql_cube", "select return_flag, line_status, count(*) as n, round(sum(quantity), 2) as units from lineitem group by cube(return_flag, line_status)")
+_sql("sql_grouping_sets", "select order_status, priority, count(*) as n from orders group by grouping sets ((order_status), (priority), ())")
+_sql("sql_rank", "select order_id, customer_id, r from (select order_id, customer_id, rank() over (partition by customer_id order by total_price desc, order_id) as r from orders) x where r <= 2 and customer_id < 20")
+_sql("sql_dense_rank", "select part_size, dense_rank() over (order by part_size) as r, count(*) as n from part group by part_size")
+_sql("sql_lag", "select order_id, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders where customer_id < 8 order by order_id limit 100")
+_sql("sql_running_sum", "select order_id, round(sum(total_price) over (partition by customer_id order by order_date, order_id rows between unbounded preceding and current row), 2) as running, round(avg(total_price) over (partition by customer_id order by order_date, order_id rows between 2 preceding and 1 following), 2) as around from orders where customer_id < 8 order by order_id limit 100")
+_sql("sql_ntile", "select tile, count(*) as n, min(total_price) as least, max(total_price) as most from (select total_price, ntile(4) over (order by total_price, order_id) as tile from orders) x group by tile")
+_sql("sql_first_last_value", "select distinct customer_id, first_value(order_id) over (partition by customer_id order by order_date, order_id) as first_order, max(total_price) over (partition by customer_id) as most from orders where customer_id < 30")
+_sql("sql_percent_rank", "select nation_id, round(percent_rank() over (order by nation_id), 6) as p, round(cume_dist() over (order by region_id), 6) as c from nation")
+_sql("sql_union_all", "select 'c' as kind, nation_id, count(*) as n from customer group by nation_id union all select 's' as kind, nation_id, count(*) as n from supplier group by nation_id")
+_sql("sql_union", "select nation_id from customer where nation_id < 12 union select nation_id from supplier where nation_id > 8")
+_sql("sql_intersect", "select nation_id from customer where account_balance > 9000 intersect select nation_id from supplier where account_balance > 5000")
+_sql("sql_except", "select nation_id from nation except select nation_id from supplier where account_balance > 8000")
+_sql("sql_scalar_subquery", "select count(*) as n from orders where total_price > (select avg(total_price) from orders)")
+_sql("sql_in_subquery", "select count(*) as n from orders where customer_id in (select customer_id from customer where segment = 'MACHINERY' and account_balance > 5000)")
+_sql("sql_not_in_subquery", "select count(*) as n from nation where nation_id not in (select nation_id from supplier where account_balance > 7000)")
+_sql("sql_exists_subquery", "select count(*) as n from customer c where exists (select 1 from orders o where o.customer_id = c.customer_id and o.priority = '1-URGENT' and o.total_price > 350000)")
+_sql("sql_correlated", "select count(*) as n from orders o where o.total_price > (select avg(i.total_price) * 1.5 from orders i where i.customer_id = o.customer_id)")
+_sql("sql_cte", "with spent as (select customer_id, sum(total_price) as s from orders group by customer_id), big as (select customer_id from spent where s > 2000000) select c.segment, count(*) as n from big b join customer c on b.customer_id = c.customer_id group by c.segment")
+_sql("sql_case", "select case when total_price > 300000 then 'high' when total_price > 100000 then 'mid' else 'low' end as band, count(*) as n, coalesce(nullif(max(priority), '5-LOW'), 'none') as p from orders group by 1")
+_sql("sql_string_functions", "select upper(substring(nation_name, 1, 3)) as head, length(nation_name) as n, concat(nation_name, '-', cast(region_id as string)) as joined, replace(lower(nation_name), 'nation', 'n') as short, lpad(cast(nation_id as string), 4, '0') as padded, trim(concat(' ', nation_name, ' ')) as trimmed from nation", "select upper(substring(nation_name, 1, 3)) as head, length(nation_name)::int as n, concat(nation_name, '-', cast(region_id as varchar)) as joined, replace(lower(nation_name), 'nation', 'n') as short, lpad(cast(nation_id as varchar), 4, '0') as padded, trim(concat(' ', nation_name, ' ')) as trimmed from nation")
+_sql("sql_date_functions", "select year(order_date) as y, month(order_date) as m, count(*) as n, cast(min(cast(date_add(order_date, 7) as date)) as string) as week_later, max(datediff(date '2002-01-01', order_date)) as days from orders group by 1, 2 order by 1, 2 limit 100", "select year(order_date)::int as y, month(order_date)::int as m, count(*) as n, min(cast(order_date as date) + 7)::varchar as week_later, max(date_diff('day', cast(order_date as date), date '2002-01-01'))::int as days from orders group by 1, 2 order by 1, 2 limit 100")
+_sql("sql_math_functions", "select part_size, round(sum(sqrt(retail_price)), 3) as roots, max(part_size % 7) as remainder, round(avg(power(part_size, 2)), 2) as squares, min(abs(part_size - 25)) as distance, max(ceil(retail_price / 100)) as hundreds, round(sum(ln(retail_price)), 3) as logs from part group by part_size", "select part_size, round(sum(sqrt(retail_price)), 3) as roots, max(part_size % 7) as remainder, round(avg(power(part_size, 2)), 2) as squares, min(abs(part_size - 25)) as distance, max(ceil(retail_price / 100))::bigint as hundreds, round(sum(ln(retail_price)), 3) as logs from part group by part_size")
+_sql("sql_array_functions", "select region_id, size(collect_set(nation_id)) as n, array_join(sort_array(collect_list(nation_name)), ',') as names, array_contains(collect_list(nation_id), 3) as has_three from nation group by region_id", "select region_id, len(list(distinct nation_id))::int as n, array_to_string(list_sort(list(nation_name)), ',') as names, list_contains(list(nation_id), 3) as has_three from nation group by region_id")
+_sql("sql_json_functions", "select cast(get_json_object(props, '$.k') as int) % 10 as bucket, count(*) as n from events group by 1", "select cast(json_extract_string(props, '$.k') as int) % 10 as bucket, count(*) as n from events group by 1")
+_sql("sql_explode", "select word, count(*) as n from part lateral view explode(split(part_name, ' ')) t as word group by word order by n desc, word limit 100", "select word, count(*) as n from (select unnest(string_split(part_name, ' ')) as word from part) t group by word order by n desc, word limit 100")
+_sql("sql_pivot_by_case", "select priority, sum(case when order_status = 'F' then 1 else 0 end) as f, sum(case when order_status = 'O' then 1 else 0 end) as o, count_if(order_status = 'P') as p from orders group by priority", "select priority, sum(case when order_status = 'F' then 1 else 0 end)::bigint as f, sum(case when order_status = 'O' then 1 else 0 end)::bigint as o, count_if(order_status = 'P')::bigint as p from orders group by priority")
+_sql("sql_filter_clause", "select order_status, count(*) filter (where total_price > 200000) as big, count(distinct customer_id) as buyers from orders group by order_status")
+_sql("sql_distinct_order_offset", "select distinct customer_id from orders order by customer_id desc limit 20 offset 5")
+_sql("sql_between_like", "select count(*) as n from part where part_size between 10 and 20 and part_name like '%ring%' and brand not in ('Brand#1') and part_type is not null")
+_sql("sql_interval_overlap", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 days where a.customer_id < 200", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 day where a.customer_id < 200")
+_sql("sql_star_is_governed", "select * from customer where customer_id < 100 order by customer_id")
+
+#: Statements and the code that the guard gives them.
+_STATEMENTS = [
+    ("select segment, count(*) from customer group by segment", "allow"), ("with x as (select * from orders) select count(*) from x", "allow"), ("delete from orders", "mutating_sql"), ("insert into orders select * from orders", "mutating_sql"),
+    ("drop table orders", "mutating_sql"), ("show tables", "not_read_only_select"), ("describe orders", "not_read_only_select"), ("select (segment from customer", "sql_parse_failed"), ("select 1; select 2", "sql_parse_failed"),
+    ("select reflect('java.lang.System', 'exit') from orders", "forbidden_function"), ("select 1", "no_table_source"), ("select * from secrets", "table_not_allowed"), ("select * from parquet.`/etc/passwd`", "table_not_allowed"),
+    ("select 'drop table orders' as harmless from orders", "allow"), ("select customer_id from customer where exists (select 1 from hidden h where h.id = customer_id)", "table_not_allowed"),
+]
+
+
+def _guard_decisions(spark, sf_dir):
+    c, rows = engine(spark, sf_dir).contract, []
+    for sql, _ in _STATEMENTS:
+        try:
+            check(spark, c, sql)
+            rows.append((sql, "allow"))
+        except Refusal as e:
+            rows.append((sql, e.code))
+    return spark.createDataFrame(rows, "statement string, verdict string")
+
+
+_literal = lambda s: "'" + s.replace("'", "''") + "'"
+_add("guard_decisions", _guard_decisions, "select * from (values {}) t(statement, verdict)".format(", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in _STATEMENTS)))
+
+
+# Governance, evidence, trust, decisions ---------------------------------------------------------------------------
+
+_MASK = access.Masking([f"{W}.customer.customer_name"], ["admin"])
+
+
+def _masked(spark, sf_dir, role):
+    e = engine(spark, sf_dir)
+    df = access.governed_views(spark, e.contract, _MASK, role)["customer"]
+    return df.select("customer_id", F.col("customer_name").alias("alias_of_name"), F.upper("customer_name").alias("shouted")).where("customer_id < 50")
+
+
+_add("masked_rows", partial(_masked, role="analyst"), "select c_custkey as customer_id, '***MASKED***' as alias_of_name, '***MASKED***' as shouted from customer where c_mktsegment <> 'BUILDING' and c_custkey < 50")
+_add("unmasked_rows", partial(_masked, role="admin"), "select c_custkey as customer_id, c_name as alias_of_name, upper(c_name) as shouted from customer where c_mktsegment <> 'BUILDING' and c_custkey < 50")
+_POLICIES = [{"id": "p1", "role": "viewer", "operation": "run_*"}, {"id": "p2", "metric": "final_*", "role": "intern"}, {"id": "p3", "source": "ware*", "role": "ana?yst", "effect": "allow"}, {"id": "p4", "operation": "metric_query", "metric": "b*"}]
+
+
+def _policy(spark, sf_dir):
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("o_orderkey") / n) % len(values) + 1).cast("int"))
+    requests = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 120").select(
+        F.col("o_orderkey").alias("request"), pick(["viewer", "intern", "analyst"], 1).alias("role"), F.lit(W).alias("source"), pick(["run_guarded_sql", "metric_query"], 3).alias("operation"), pick(["final_sales", "buyers", "units"], 6).alias("metric")
+    )
+    return access.policy_matrix(requests, _POLICIES)
+
+
+_add("policy_matrix", _policy, """with r as (select o_orderkey as request, ['viewer', 'intern', 'analyst'][(o_orderkey % 3 + 1)::int] as role, 'warehouse' as source, ['run_guarded_sql', 'metric_query'][((o_orderkey // 3) % 2 + 1)::int] as operation,
+    ['final_sales', 'buyers', 'units'][((o_orderkey // 6) % 3 + 1)::int] as metric from orders where o_orderkey < 120),
+    x as (select *, case when role = 'viewer' and operation like 'run_%' then 'p1' when role = 'intern' and metric like 'final%' then 'p2' when role = 'analyst' then 'p3' when operation = 'metric_query' and metric like 'b%' then 'p4' end as rule_id from r)
+    select request, role, source, operation, metric, rule_id is null or rule_id = 'p3' as allowed, rule_id from x""")
+
+
+def _rule_counts(spark, sf_dir):
+    c = engine(spark, sf_dir).contract
+    count = lambda rules, name: c.table(spark, "customer", rules).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view"), "n")
+    return count(True, "governed").union(count(False, "all"))
+
+
+_add("rule_exclusion_counts", _rule_counts, "select 'governed' as view, count(*) filter (c_mktsegment <> 'BUILDING') as n from customer union all select 'all', count(*) from customer")
+
+
+def _cited(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    df = compile_plan(spark, e.contract, {"select": [_f("nation.nation_id"), _f("nation.nation_name")], "order_by": [_o("nation_id")]})
+    record = citations.provenance(e.contract, W, [f"{W}.nation.nation_id", f"{W}.nation.nation_name"])
+    return citations.cite(df, record, ["nation_id"]).select("nation_id", "_citation.kind", "_citation.source_id", "_citation.record_ref", "_citation.may_support_claims")
+
+
+_add("citations", _cited, """select n_nationkey as nation_id, 'atomic' as kind, 'warehouse' as source_id, '{"nation_id":"' || n_nationkey || '"}' as record_ref, true as may_support_claims from nation""")
+_add("content_ids", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", row_id("ev:", F.col("n_name"), F.col("n_regionkey")).alias("id")), "select n_nationkey, 'ev:' || substr(sha256('=' || n_name || chr(31) || '=' || n_regionkey), 1, 16) as id from nation")
+
+
+def _packet(spark, sf_dir):
+    """Claims about orders, with holes: every 5th cites evidence that isn't there, every 7th evidence of an unknown query."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200").select(F.col("o_orderkey").alias("k"))
+    ev = lambda c: F.concat(F.lit("ev:"), c.cast("string"))
+    claim = o.select(
+        F.concat(F.lit("c"), F.col("k")).alias("claim_id"), F.array(F.when(F.col("k") % 5 == 0, ev(F.col("k") + 100000)).otherwise(ev(F.col("k")))).alias("evidence_ids"),
+        F.array(F.when(F.col("k") % 11 == 0, F.lit("other.orders")).otherwise(F.lit("warehouse.orders"))).alias("source_ids"),
+    )
+    cites = o.select(
+        ev(F.col("k")).alias("evidence_id"), F.lit("atomic").alias("kind"), F.lit(W).alias("source_id"), F.when(F.col("k") % 7 == 0, "prov:x").otherwise("prov:1").alias("provenance_id"),
+        F.array().cast("array<string>").alias("supporting_evidence_ids"), (F.col("k") % 13 != 0).alias("may_support_claims"),
+    )
+    envelopes = spark.createDataFrame([("prov:1", W, "h1")], "provenance_id string, source_id string, contract_hash string")
+    return evidence.closure_issues(claim, cites, envelopes, "h1")
+
+
+_add("closure_issues", _packet, """with o as (select o_orderkey as k from orders where o_orderkey < 200)
+    select 'evidence_not_found' as code, 'c' || k as subject, 'ev:' || (k + 100000) as detail from o where k % 5 = 0
+    union all select 'evidence_not_claim_supporting', 'c' || k, 'ev:' || k from o where k % 13 = 0 and k % 5 <> 0
+    union all select 'provenance_not_found', 'ev:' || k, 'prov:x' from o where k % 7 = 0
+    union all select 'source_not_covered', 'c' || k, case when k % 11 = 0 then 'other.orders' else 'warehouse.orders' end from o where k % 5 = 0 or k % 11 = 0""")
+
+
+def _trust(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 300")
+    terms = o.select(F.col("o_orderkey").alias("term_id"), (F.col("o_orderkey") % 4 != 0).alias("certified"), (F.col("o_orderkey") % 3 != 0).alias("probe_ok"), F.col("o_orderdate").cast("date").alias("verified_on"), F.lit(1500).alias("max_age_days"))
+    return trust.trust_signals(terms, REFERENCE).select("term_id", "age_days", "drift", "evidence_tier", "status")
+
+
+_add("trust_status", _trust, """with t as (select o_orderkey as term_id, o_orderkey % 4 <> 0 as certified, o_orderkey % 3 <> 0 as probe_ok, date_diff('day', cast(o_orderdate as date), date '2001-07-15') as age_days from orders where o_orderkey < 300),
+    d as (select *, case when age_days > 1500 then 'expired' when age_days > 1500 * 0.8 then 'at_risk' else 'current' end as drift, case when certified and probe_ok then 3 when certified then 2 else 1 end::bigint as evidence_tier from t)
+    select term_id, age_days, drift, evidence_tier, case when drift = 'expired' or evidence_tier = 1 then 'not_usable' when evidence_tier = 3 and drift = 'current' then 'trusted' else 'usable_with_caveats' end as status from d""")
+
+
+def _choose(column: str, values: list, n: int):
+    made = [F.lit(v).cast("string") for v in values]
+    return F.element_at(F.array(*made), (F.floor(F.col(column) / n) % len(values) + 1).cast("int"))
+
+
+def _claims(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 240")
+    c = o.select(
+        F.col("o_orderkey").alias("claim_id"), _choose("o_orderkey", ["2001-Q1", None], 1).alias("period"), _choose("o_orderkey", ["gross", "net", "deferred", None], 2).alias("revenue_type"), _choose("o_orderkey", ["subtracted", None], 8).alias("refund_treatment"),
+        _choose("o_orderkey", ["net", "gross"], 16).alias("reported_as"), _choose("o_orderkey", ["recognized", "pending"], 32).alias("recognition"),
+    )
+    return claims.validate_claims(c).select("claim_id", "outcome", F.array_join("violations", ",").alias("violations"))
+
+
+_add("claim_decisions", _claims, """with c as (select o_orderkey as claim_id, case when o_orderkey % 2 = 0 then '2001-Q1' end as period, ['gross', 'net', 'deferred', null][((o_orderkey // 2) % 4 + 1)::int] as rt,
+    case when (o_orderkey // 8) % 2 = 0 then 's' end as rf, case when (o_orderkey // 16) % 2 = 0 then 'net' else 'gross' end as ra, case when (o_orderkey // 32) % 2 = 0 then 'recognized' else 'pending' end as rec from orders where o_orderkey < 240),
+    v as (select claim_id, list_filter([case when rt = 'deferred' and rec = 'recognized' and ra = 'net' then 'deferred_reported_as_recognized_net' end, case when rt = 'gross' and ra = 'net' then 'gross_reported_as_net' end,
+    case when period is null then 'period_required' end, case when rt = 'net' and rf is null then 'refund_treatment_required' end, case when rt is null then 'revenue_type_required' end], lambda x: x is not null) as v from c)
+    select claim_id, case when list_contains(v, 'deferred_reported_as_recognized_net') or list_contains(v, 'gross_reported_as_net') then 'refuse' when len(v) > 0 then 'clarify' else 'valid' end as outcome, array_to_string(v, ',') as violations from v""")
+
+
+def _gate(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 200").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))  # noqa: E741
+    sub = l.select(F.col("l_orderkey").alias("pack_id"), _choose("p", ["valid", "valid", "valid", "valid", "clarify", "valid", "valid", "refuse"], 1).alias("outcome"), _choose("p", list(packs.TIERS[1:5]), 8).alias("tier"), (F.col("p") % 29 == 0).alias("triggered"))
+    bars = l.select(F.col("l_orderkey").alias("pack_id")).distinct().withColumn("needed_tier", _choose("pack_id", ["observational", "correlational"], 1))
+    return packs.gate(sub, bars)
+
+
+_add("pack_gate", _gate, """with l as (select l_orderkey as pack_id, l_linenumber, max(l_partkey) as p from lineitem where l_orderkey < 200 group by 1, 2),
+    s as (select pack_id, ['valid', 'valid', 'valid', 'valid', 'clarify', 'valid', 'valid', 'refuse'][(p % 8 + 1)::int] as outcome, ((p // 8) % 4 + 1)::int as rank, p % 29 = 0 as trig from l),
+    g as (select pack_id, count(*) as n, min(rank) as least, bool_or(outcome = 'refuse') as r, bool_or(outcome = 'clarify') as c, bool_or(trig) as t, min(rank) < case when pack_id % 2 = 0 then 1 else 2 end as low from s group by pack_id)
+    select pack_id, n, ['observational', 'correlational', 'quasi_experimental', 'experimental'][least] as min_tier, case when r then 'refuse' when c or t or low then 'review_required' else 'answer' end as decision,
+    array_to_string(list_filter([case when r then 'subclaim_refused' end, case when c then 'subclaim_unclear' end, case when t then 'review_trigger' end, case when low then 'tier_below_bar' end], lambda x: x is not null), ',') as reasons from g""")
+
+
+def _comparable(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 300")
+    return packs.comparable(o.select((F.col("o_orderkey") % 60).alias("group_id"), F.when(F.col("o_orderkey") % 59 != 0, F.col("o_orderstatus")).alias("grain"), F.year("o_orderdate").cast("string").alias("period")))
+
+
+_add("comparable_groups", _comparable, """with s as (select o_orderkey % 60 as group_id, case when o_orderkey % 59 <> 0 then o_orderstatus end as grain, year(o_orderdate) as period from orders where o_orderkey < 300),
+    g as (select group_id, count(*) as n, case when count(*) filter (grain is null or period is null) > 0 then 'incomplete' when count(*) < 2 then 'single_member' when count(distinct grain) > 1 then 'grain_differs' when count(distinct period) > 1 then 'period_differs' else '' end as reason from s group by 1)
+    select group_id, n, reason in ('', 'single_member') as comparable, reason from g""")
+
+
+def _outcomes(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 400").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))  # noqa: E741
+    field = F.concat(F.lit("f"), F.col("l_linenumber"))
+    want = l.select(F.col("l_orderkey").alias("decision_id"), field.alias("field"), F.col("q").cast("string").alias("value"))
+    got = l.where("p % 5 <> 0").select(F.col("l_orderkey").alias("decision_id"), field.alias("field"), F.when(F.col("p") % 3 == 0, F.col("q") + 1).otherwise(F.col("q") + 0.001).cast("string").alias("value"))
+    return calibration.deltas(want, got)
+
+
+_DELTAS = """with l as (select l_orderkey as decision_id, l_linenumber, max(l_partkey) as p from lineitem where l_orderkey < 400 group by 1, 2),
+    d as (select decision_id, count(*) filter (p % 5 <> 0 and p % 3 <> 0) as matched, count(*) as checks from l group by 1), s as (select *, case when matched = checks then 'match' when matched > 0 then 'partial' else 'miss' end as delta from d) """
+_add("calibration_delta", _outcomes, _DELTAS + "select * from s")
+
+
+def _wilson(spark, sf_dir):
+    out = calibration.aggregate(_outcomes(spark, sf_dir).withColumn("class", F.col("checks")), "class")
+    return out.select("class", "n", "matches", *[F.round(c, 6).alias(c) for c in ("match_rate", "match_low", "match_high", "miss_low")])
+
+
+_add("wilson_interval", _wilson, _DELTAS + """, g as (select checks as class, count(*)::double as n, (count(*) filter (delta = 'match'))::double as m from s group by 1),
+    w as (select class, n, m, m / n as p, (n - m) / n as q, 1.96 as z from g)
+    select class, n::bigint as n, m::bigint as matches, round(p, 6) as match_rate, round(greatest(0, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 6) as match_low,
+    round(least(1, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 6) as match_high, round(greatest(0, (q + z*z/(2*n) - z * sqrt(q*(1-q)/n + z*z/(4*n*n))) / (1 + z*z/n)), 6) as miss_low from w""")
+
+
+def _pass_k(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return trust.consistency(o.select(F.col("o_custkey").alias("question"), F.lit(True).cast("string").alias("expected"), (F.col("o_totalprice") > 40000).cast("string").alias("decision")))
+
+
+_add("passk_consistency", _pass_k, "with q as (select o_custkey, bool_and(o_totalprice > 40000) as c from orders group by 1) select count(*) as questions, count(*) filter (c) as consistent, avg(c::int) as pass_k from q")
+
+
+def _pass_rates(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", (F.col("o_totalprice") > 60000).alias("passed"))
+    return trust.pass_rates(o, "o_orderpriority").select("o_orderpriority", "n", "passes", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")])
+
+
+_add("pass_rate_interval", _pass_rates, """with g as (select o_orderpriority, count(*)::double as n, (count(*) filter (o_totalprice > 60000))::double as k from orders group by 1)
+    select o_orderpriority, n::bigint as n, k::bigint as passes, round(k/n, 6) as rate, round(greatest(0, k/n - 1.96 * sqrt(k/n*(1-k/n)/n)), 6) as low, round(least(1, k/n + 1.96 * sqrt(k/n*(1-k/n)/n)), 6) as high from g""")
+
+
+def _latest(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("term"), F.col("o_orderdate").alias("recorded_at"), F.col("o_orderkey").alias("prior"))
+    return calibration.latest(o, "term").select("term", "prior")
+
+
+_add("latest_override", _latest, "select o_custkey as term, max_by(o_orderkey, (o_orderdate, o_orderkey)) as prior from orders group by 1")
+
+
+def _impacted(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
+    changed = e.select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "error", "definition_changed").otherwise("source_refreshed").alias("kind"), F.concat(F.lit("measure:"), F.col("user_id") % 5).alias("ref"), F.col("ts").alias("at"))
+    terms = spark.createDataFrame([("revenue", ["measure:1", "measure:2"]), ("orders", ["measure:3"]), ("measure:4", None)], "term_id string, refs array<string>")
+    return metadata.recertification_queue(metadata.touched_terms(changed, terms))
+
+
+_add("impacted_terms", _impacted, """with e as (select user_id % 5 as m from events where event_id < 400 and event_type = 'error'), t as (select case when m in (1, 2) then 'revenue' when m = 3 then 'orders' when m = 4 then 'measure:4' end as term_id from e)
+    select term_id, count(*) as events from t where term_id is not null group by 1""")
+
+
+def _event_windows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    return metadata.drift_counts(e, "1 day").select(F.col("start").cast("date").cast("string").alias("day"), "kind", "n")
+
+
+_add("event_windows", _event_windows, "select cast(date_trunc('day', ts) as date)::varchar as day, event_type as kind, count(*) as n from events group by 1, 2")
