@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator here broadcasts; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: The same for rows of some hundred bytes, or where a table is broadcast again and again.
+SMALL_ROWS = 20_000
 
 _FALLBACK_DIR = "/tmp/tessera-checkpoints"
 _written: set[str] = set()
@@ -96,32 +98,37 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, name:
     return out.withColumn(rank, F.col(mid) - F.col("__first") + F.col("__before")).select(*df.columns, rank)
 
 
+def small_parts(rows: int, spark: SparkSession) -> int:
+    """Files for an intermediate table of so many narrow rows, at most the shuffle partitions."""
+    return max(1, min(-(-rows // 200_000), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the smallest node.
 
     Alternating large-star and small-star steps, each a partial-aggregated minimum and a join that Spark may split where
-    a hub is skewed; every step's edges are written, so nothing is gathered on the driver.
+    a hub is skewed; every step's edges are written, so nothing is gathered on the driver. It ends when all edges point
+    from a node to the root of a star.
     """
     spark = edges.sparkSession
     cur = materialize(edges.where("a <> b").select("a", "b").distinct(), name)
-    seen = None
-    while True:
+    n = cur.count()
+    parts = small_parts(n, spark)
+    crooked = n
+    while crooked:
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = down.join(low, F.col("a") == F.col("u"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        nxt = materialize(small.distinct(), name)
-        state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(spark, cur.stored_at)
-        cur = nxt
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    out = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = out.union(cur.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        large = both.join(maybe_broadcast(low, 2 * n, SMALL_ROWS), F.col("a") == F.col("u")).where("b > a")
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        small = large.join(maybe_broadcast(low, 2 * n, SMALL_ROWS), F.col("a") == F.col("u"))
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x"))
+        old, cur = cur, materialize(small.select("x.a", "x.b").where("a <> b").distinct().coalesce(parts), name)
+        discard(spark, old.stored_at)
+        ends = cur.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("x"))
+        ends = ends.groupBy("x.v").agg(F.sum("x.out").alias("out"), F.max("x.into").alias("into"))
+        crooked = ends.where("out > 1 or out = 1 and into = 1").count()
+    out = cur.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("x"))
+    out = out.select("x.node", "x.component").distinct()
     out.stored_at = cur.stored_at
     return out

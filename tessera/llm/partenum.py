@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
@@ -29,8 +29,15 @@ from .common import components, discard, materialize, maybe_broadcast
 BAND, CELLS, MISSES = 1.5, 2, 1
 #: Hash families tried for sets with many empty cells.
 FAMILIES = 6
+#: Sets, and bytes of their texts, that one task compares with each other.
+BLOCK_NODES, BLOCK_BYTES = 2048, 16 << 20
+#: Cells of a set's sketch (a power of two), and the most nodes of a signature whose sketches are compared.
+SKETCH, RUN = 128, 4096
+#: Of the sample that finds signatures shared by very many texts: one text in so many, texts at most, and how many of
+#: them must share a signature.
+HOT_EVERY, HOT_SAMPLE, HOT_COUNT = 64, 50_000, 16
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 class Bands:
@@ -53,10 +60,15 @@ class Bands:
         return (100 - self.percent) * total // (100 + self.percent)
 
     def partitions(self, band: int) -> tuple[int, int]:
-        """First-level partitions of a band, and how many of them differ in no more than ``misses`` cells, at least."""
-        full = self.differ(2 * self.ends[band]) // (self.misses + 1)
-        spare = 1 + math.ceil(0.06 * full) if full else 0
-        return full + 1 + spare, 1 + spare
+        """First-level partitions of a band, and how many of them differ in no more than ``misses`` cells, at least.
+
+        There are some more than the one that is needed, for sets with empty cells; none where no element may differ.
+        """
+        most = self.differ(2 * self.ends[band])
+        if not most:
+            return 0, 0
+        spare = 1 + math.ceil(0.06 * (most // (self.misses + 1)))
+        return most // (self.misses + 1) + 1 + spare, 1 + spare
 
     def homes(self, size: int) -> list[int]:
         """Bands in which a set has signatures: its own, and the next one if that may hold a partner."""
@@ -70,7 +82,7 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     for band in bands.homes(len(shingles)):
         first, sure = bands.partitions(band)
-        if first == 1:  # no element may differ
+        if not first:
             out.append(B.mix(np.array([B.mix(shingles, 20).sum(dtype=np.uint64)]), 1000 + band))
             continue
         n = first * bands.cells
@@ -94,26 +106,6 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """Counts (up to 255) and 8-bit sums of the shingles in 2^j cells of the domain, about four shingles a cell."""
-    n = 1 << min(12, max(4, (len(shingles) // 4).bit_length()))
-    edges = np.searchsorted(shingles >> np.uint64(64 - int(n).bit_length() + 1), np.arange(n + 1, dtype=np.uint64))
-    sums = np.zeros(len(shingles) + 1, np.uint64)
-    np.cumsum(B.mix(shingles, 5), out=sums[1:])
-    count = np.diff(edges)
-    return np.minimum(count, 255).astype(np.uint8).tobytes() + (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint8).tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets, from their sketches."""
-    x, y = (np.frombuffer(s, np.uint8).reshape(2, -1) for s in (a, b))
-    n = min(x.shape[1], y.shape[1])
-    (cx, sx), (cy, sy) = ((s[0].reshape(n, -1), s[1].reshape(n, -1).sum(1, dtype=np.uint8)) for s in (x, y))
-    full = (cx == 255).any(1) | (cy == 255).any(1)
-    cx, cy = cx.sum(1, dtype=np.int64), cy.sum(1, dtype=np.int64)
-    return int(np.where(full, 0, np.where(cx == cy, 2 * (sx != sy), np.abs(cx - cy))).sum())
-
-
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about SLICE_BYTES of text."""
     sizes = np.array([n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
@@ -139,9 +131,12 @@ def _sets(n: int):
     return run
 
 
-def _signed(n: int, bands: Bands):
+def _signed(n: int, bands: Bands, hot=None):
+    """Rows (sig, node) of every set, once in a task. A hot signature becomes one of ``hot``'s salts for each node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task; at most one number for each of its rows
+        known, _, salts = hot.value if hot else (np.zeros(0, np.int64), None, 1)
         for whole in batches:
             for batch in _slices(whole, "text"):
                 nodes, sigs = [], []
@@ -151,80 +146,229 @@ def _signed(n: int, bands: Bands):
                         sigs.append(signatures(s, bands).view(np.int64))
                         nodes.append(np.full(len(sigs[-1]), node, np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+                    if len(known):
+                        is_hot = known[np.minimum(np.searchsorted(known, sig), len(known) - 1)] == sig
+                        sig[is_hot] = _salted(sig[is_hot], node[is_hot].view(np.uint64) % np.uint64(salts))
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, node): those whose signature more than one node has, and all of the first and last one.
+def _salted(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return B.mix(sig.view(np.uint64) ^ B.mix(salt.astype(np.uint64), 40), 41).view(np.int64)
 
-    State is one row, so that a signature of any number of nodes streams through; where range partitioning cut a
-    signature in two, its rows stand at the ends of parts, are let through, and are sorted out later.
-    """
-    edge = last = None  # the part's first signature, and the row whose successor isn't known yet
-    wanted = False  # whether that row is let through whatever follows
+
+def _bridges(hot):
+    """Each hot signature's known node with all of its salts: every other node of it meets that one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, node, salts = hot.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_salted(known[at // salts], (at % salts).astype(np.uint64))), pa.array(node[at // salts])], ["sig", "node"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (sig, node): those whose signature more than one node has. Memory is one batch."""
+    last, wanted = None, False  # the row whose successor isn't known yet, and whether its predecessor has its signature
     for batch in batches:
         sig, node = (batch.column(k).to_numpy() for k in range(2))
         if not len(sig):
             continue
-        edge = sig[0] if edge is None else edge
         if last is not None:
             sig, node = np.r_[last[0], sig], np.r_[last[1], node]
         fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
         sig, node = sig[fresh], node[fresh]
         same = sig[1:] == sig[:-1]
-        keep = np.r_[same, False] | np.r_[wanted, same] | (sig == edge)
+        keep = np.r_[same, False] | np.r_[wanted, same]
         last, wanted = (sig[-1], node[-1]), bool(keep[-1])
         keep[-1] = False
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
-    if last is not None:
+    if last is not None and wanted:
         yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["sig", "node"])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts (up to 255) and 8-bit sums of a sorted set's shingles in SKETCH cells of the domain."""
+    edges = np.searchsorted(shingles >> np.uint64(64 - SKETCH.bit_length() + 1), np.arange(SKETCH + 1, dtype=np.uint64))
+    sums = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(B.mix(shingles, 5), out=sums[1:])
+    return np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes() + (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint8).tobytes()
+
+
+def _close(percent: int):
+    """Of rows (sig, node, size, sketch) sorted by sig: edges that connect, within each signature, all nodes that chains
+    of possible links connect. A link is possible if sizes and sketches allow it; a signature of more than RUN nodes
+    gets an edge from its first node to every other one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(node: np.ndarray, size: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+            order = np.argsort(size, kind="stable")
+            node, size, flat = node[order], size[order], flat[order]
+            count, total = flat[:, :SKETCH].astype(np.int16), flat[:, SKETCH:]
+            comp, out = np.arange(len(node)), []
+            for i in range(len(node) - 1):
+                end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+                j = np.arange(i + 1, end)
+                j = j[comp[j] != comp[i]]
+                if not len(j):
+                    continue
+                apart = np.abs(count[j] - count[i])
+                apart[(count[j] == 255) | (count[i] == 255)] = 0
+                least = (apart + 2 * ((apart == 0) & (count[i] < 255) & (total[j] != total[i]))).sum(1)
+                for k in j[least <= (100 - percent) * (size[j] + size[i]) // (100 + percent)]:
+                    if comp[k] != comp[i]:
+                        comp[comp == comp[k]] = comp[i]
+                        out.append((node[i], node[k]))
+            return out
+
+        held, many, found = [], 0, []
+        sig0 = first = None
+
+        def finish() -> None:
+            nonlocal held, many
+            if many > 1 and held:
+                found.extend(edges(*(np.concatenate(c) for c in zip(*held, strict=True))))
+            held, many = [], 0
+
+        for x in batches:
+            sig, node, size = (x.column(k).to_numpy() for k in range(3))
+            if not len(sig):
+                continue
+            flat = np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint8).reshape(len(sig), -1)
+            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1), len(sig)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if sig[i] != sig0:
+                    finish()
+                    sig0, first = sig[i], node[i]
+                many += j - i
+                if many <= RUN:
+                    held.append((node[i:j], size[i:j], flat[i:j]))
+                else:
+                    found += [(first, v) for h in held for v in h[0] if v != first] + [(first, v) for v in node[i:j] if v != first]
+                    held = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        finish()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
 def _sketched(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, "text"):
-                sets, _ = B.shingle_sets(batch.column("text"), n)
+                sets = B.shingle_sets(batch.column("text"), n)[0]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column("text")], ["node", "size", "sketch", "text"])
 
     return run
 
 
-def _possible(bands_of: int):
+def _named(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(bands_of)
-        for x in batches:
-            na, nb = x.column("size_a").to_numpy(), x.column("size_b").to_numpy()
-            fits = 100 * np.minimum(na, nb) >= bands.percent * np.maximum(na, nb)
-            for k in np.flatnonzero(fits):
-                fits[k] = least_difference(x.column("sketch_a")[k].as_py(), x.column("sketch_b")[k].as_py()) <= bands.differ(int(na[k] + nb[k]))
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(fits))
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                names = [_finger(s) if len(s) else None for s in B.shingle_sets(batch.column("text"), n)[0]]
+                keep = [x is not None and x not in seen for x in names]
+                seen.update(x for x in names if x is not None)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text")], ["node", "text"]).filter(pa.array(keep))
 
     return run
 
 
-def _linked(n: int, percent: int):
+def _sketches(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and 16-bit sums of each set's shingles in 2^bits cells of the domain."""
+    n = 1 << bits
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    cell = (flat >> np.uint64(64 - bits)).astype(np.int64) + row * n
+    count = np.bincount(cell, minlength=len(sets) * n).reshape(-1, n)
+    total = np.bincount(cell, weights=(B.mix(flat, 5) >> np.uint64(48)).astype(np.float64), minlength=len(sets) * n)
+    return count.astype(np.int32), (total.astype(np.int64) & 0xFFFF).astype(np.uint16).reshape(-1, n)
+
+
+def links_within(nodes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray, bands: Bands, across: bool) -> list[tuple[int, int]]:
+    """Links that join the components of a group of sets, found by comparing all pairs that aren't in one already.
+
+    ``across``: only pairs from different blocks. Sketches give a lower bound of each pair's symmetric difference, which
+    rules most pairs out; the rest are compared exactly, likeliest first, until they are in one component.
+    """
+    out: list[tuple[int, int]] = []
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, nodes, comp, block, sets = size[order], nodes[order], comp[order].copy(), block[order], [sets[k] for k in order]
+    bits = min(10, max(5, int(np.median(size) // 4).bit_length()))
+    count, total = _sketches(sets, bits)
+    for i in range(len(sets)):
+        end = int(np.searchsorted(size, 100 * size[i] // bands.percent, "right"))
+        j = np.arange(i + 1, end)
+        j = j[comp[j] != comp[i]]
+        if across:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        apart = np.abs(count[j] - count[i])
+        least = (apart + 2 * ((apart == 0) & (total[j] != total[i]))).sum(1)
+        may = least <= (100 - bands.percent) * (size[j] + size[i]) // (100 + bands.percent)
+        for k in j[may][np.argsort(least[may], kind="stable")]:
+            if comp[k] == comp[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if 100 * both >= bands.percent * (size[i] + size[k] - both):
+                out.append((int(nodes[i]), int(nodes[k])))
+                comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def _linked(n: int, percent: int, across: bool):
+    """Links of each run of rows (part, comp, block, node, text) with one part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[int, np.ndarray] = {}  # sets of the latest left sides; rows come sorted by a
+        bands, part, held = Bands(percent), None, ([], [], [], [])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(held[0]) > 1:
+                found = links_within(np.array(held[0]), held[1], np.array(held[2]), np.array(held[3]), bands, across)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
         for whole in batches:
-            for x in _slices(whole, "text_b"):
-                a, b = x.column("a").to_pylist(), x.column("b").to_pylist()
-                right = B.shingle_sets(x.column("text_b"), n)[0]
-                keep = np.zeros(len(a), bool)
-                for k, s in enumerate(right):
-                    if a[k] not in of:
-                        of = {a[k]: B.shingle_sets(x.column("text_a").slice(k, 1), n)[0][0]}
-                    t = of[a[k]]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep[k] = 100 * both >= percent * (len(s) + len(t) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep))
+            for x in _slices(whole, "text"):
+                sets = B.shingle_sets(x.column("text"), n)[0]
+                for p, node, s, comp, block in zip(x.column("part").to_pylist(), x.column("node").to_pylist(), sets, x.column("comp").to_pylist(), x.column("block").to_pylist(), strict=True):
+                    if p != part:
+                        yield from finish()
+                        part, held = p, ([], [], [], [])
+                    for h, v in zip(held, (node, s, comp, block), strict=True):
+                        h.append(v)
+        yield from finish()
 
     return run
 
 
+def _hot_signatures(texts: DataFrame, rows: int, n: int, bands: Bands, salts: int):
+    """Broadcast (signatures, a node of each, salts) of those that many texts of a sample share; None if there are none.
+
+    The sample is by hash and holds HOT_SAMPLE texts at most, so the list is bounded. It only decides how rows are dealt
+    out; results don't depend on it.
+    """
+    every = max(HOT_EVERY, rows // HOT_SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0).mapInArrow(_signed(n, bands), "sig long, node long").distinct()
+    got = some.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where(F.col("n") >= HOT_COUNT).select("sig", "node").collect()
+    if not got:
+        return None
+    got.sort()
+    return texts.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64), salts))
+
+
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate classes of texts: (id_col, n_shingles, component_id) for each row of df.
 
@@ -232,10 +376,12 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingles of ``n`` words, or the whole sequence where there are fewer. Two rows link when
     100 * |intersection| >= percent * |union|, and component_id is the smallest id reachable by links.
 
-    Rows with equal sets count as one node throughout, so copies are never paired with each other. Shared signatures
-    give candidates: first every node of a signature with its smallest, then, for signatures whose nodes are not yet in
-    one component, 16, 256, ... pivots with all nodes of other components, until every pair that shares a signature has
-    been compared or stands in one component. Components are thus exact without all pairs in a group.
+    Rows with equal sets count as one node throughout, so copies are never paired with each other. Nodes that share a
+    signature, and whose sizes and sketches allow a link, are connected by edges, and the components of these edges are
+    the candidate groups: no link leaves one. A group's sets meet in one task, which compares pairs until all linked ones are in one component
+    and returns links that join components, less than one for each set; pairs are never laid out. A group with more than
+    BLOCK_NODES sets or BLOCK_BYTES of text is cut into blocks: first each block by itself, together with the group's
+    smallest node, then each pair of blocks, where only sets that aren't yet in one component are compared.
 
     Null and empty texts and texts without words have no shingles and link with nothing, component_id being their own
     id. Rows with a null id take part; a component's id is its smallest non-null id, or null without any. Repeated rows
@@ -246,60 +392,64 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("__row"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["__row"].dataType.simpleString()
     rows = materialize(docs.mapInArrow(_sets(n), f"__row {kind}, n_shingles long, node long"), "sets")
+    temporary = [rows]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     texts = docs.select("text").where("text is not null")
-    signed = texts.mapInArrow(_signed(n, bands), "sig long, node long")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # Signatures are hashes, but a large class shares them: nodes, copies aside, of one signature spread over parts.
-    sorted_ = signed.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node")
-    some = sorted_.mapInArrow(_runs, "sig long, node long").distinct()
-    some = materialize(some, "shared")
-    several = some.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    shared = materialize(some.join(several, "sig", "left_semi"), "members")
-    discard(spark, some.stored_at)
-
-    nodes = shared.select("node").distinct()
-    nodes = materialize(nodes, "nodes")
+    hot = _hot_signatures(texts, rows.count(), n, bands, parts)
+    signed = texts.mapInArrow(_signed(n, bands, hot), "sig long, node long")
+    if hot:
+        signed = signed.union(spark.range(len(hot.value[0]) * parts).mapInArrow(_bridges(hot), "sig long, node long"))
+    shared = materialize(signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long"), "shared")
+    nodes = materialize(shared.select("node").distinct(), "nodes")
+    temporary += [shared, nodes]
     held = nodes.count()
-    named = docs.mapInArrow(_named(n), "node long, text string") if held else None
-    temporary = [rows, shared, nodes]
-    linked = None
+    found, comps, groups = 0, None, None
     if held:
-        cand = named.join(maybe_broadcast(nodes, held), "node", "left_semi").dropDuplicates(["node"])
+        cand = docs.mapInArrow(_named(n), "node long, text string").join(maybe_broadcast(nodes, held), "node", "left_semi").dropDuplicates(["node"])
         cand = materialize(cand.mapInArrow(_sketched(n), "node long, size long, sketch binary, text string"), "candidates")
-        temporary.append(cand)
-        pivots, open_ = 1, shared.withColumn("comp", F.col("node"))
-        while True:
-            first = open_.withColumn("__k", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).where(F.col("__k") <= pivots)
-            first = first.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-            pairs = first.join(open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "sig").where("comp_a <> comp_b")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            short = cand.select("node", "size", "sketch")
-            for s in "ab":
-                pairs = pairs.join(short.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
-            pairs = materialize(pairs.mapInArrow(_possible(percent), "a long, b long"), "pairs")
-            exact = pairs
-            for s in "ab":
-                exact = exact.join(cand.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")), s)
-            exact = exact.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-            links = materialize(exact.mapInArrow(_linked(n, percent), "a long, b long"), "links")
-            discard(spark, pairs.stored_at)
-            linked = links if linked is None else linked.union(links)
-            temporary.append(links)
-            if pivots == 1 or links.take(1):
-                comps = components(linked)
+        close = shared.join(cand.select("node", "size", "sketch"), "node").select("sig", "node", "size", "sketch")
+        close = close.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_close(percent), "a long, b long").distinct()
+        groups = components(close, "groups")
+        temporary += [cand, groups]
+        groups = materialize(groups, "groups")
+        temporary.append(groups)
+    if held and (grouped := groups.count()):
+        sets = cand.select("node", "text").join(maybe_broadcast(groups, grouped), "node").withColumnRenamed("component", "group")
+        wide = sets.groupBy("group").agg(F.ceil(F.greatest(F.sum(F.octet_length("text")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_NODES)).alias("blocks"))
+        wide = materialize(wide.where("blocks > 1").select("group", F.col("blocks").cast("int").alias("blocks")), "wide")
+        temporary.append(wide)
+        several = wide.count()
+        cut = sets.join(maybe_broadcast(wide, several), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        every = F.when((F.col("node") == F.col("group")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        alone = cut.withColumn("block", F.explode(every)).select(F.xxhash64("group", "block").alias("part"), F.col("node").alias("comp"), "block", "node", "text")
+        alone = alone.repartition(parts, "part").sortWithinPartitions("part")
+        links = materialize(alone.mapInArrow(_linked(n, percent, False), "a long, b long"), "links")
+        temporary.append(links)
+        found = links.count()
+        comps = components(links) if found else None
+        if several:
+            more = cut.where("blocks > 1")
+            if comps is not None:
                 temporary.append(comps)
-            now = shared.join(comps, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-            several = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-            several = several.where((F.col("lo") < F.col("hi")) & (F.col("n") > pivots)).select("sig")
-            open_ = materialize(now.join(several, "sig", "left_semi"), "open")
-            temporary.append(open_)
-            if not open_.take(1):
-                break
-            pivots *= 16
-        rows = rows.join(comps, "node", "left").withColumn("node", F.coalesce("component", "node"))
+                more = more.join(comps.withColumnRenamed("component", "comp"), "node", "left")
+            else:
+                more = more.withColumn("comp", F.lit(None).cast("long"))
+            others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
+            more = more.withColumn("other", F.explode(others)).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+            more = more.select(F.xxhash64("group", "low", "high").alias("part"), F.coalesce("comp", "node").alias("comp"), F.col("own").alias("block"), "node", "text")
+            more = more.repartition(parts, "part").sortWithinPartitions("part")
+            extra = materialize(more.mapInArrow(_linked(n, percent, True), "a long, b long"), "links")
+            temporary.append(extra)
+            if again := extra.count():
+                found += again
+                comps = components(links.union(extra))
+    if comps is not None:
+        temporary.append(comps)
+        rows = rows.join(maybe_broadcast(comps, 2 * found), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     low = rows.where("node is not null").groupBy("node").agg(F.min("__row").alias("component_id"))
-    out = rows.drop("component").join(low, "node", "left")
+    out = rows.join(low, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("__row")).otherwise(F.col("component_id"))
     out = materialize(out.select(F.col("__row").alias(id_col), "n_shingles", alone.alias("component_id")), "classes")
     for x in temporary:
@@ -307,23 +457,10 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def _named(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in _slices(whole, "text"):
-                names = [_finger(s) if len(s) else None for s in B.shingle_sets(batch.column("text"), n)[0]]
-                keep = [x is not None and x not in seen for x in names]
-                seen.update(x for x in names if x is not None)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text")], ["node", "text"]).filter(pa.array(keep))
-
-    return run
-
-
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """df with one row of each near-duplicate class: the row with the class's smallest id.
 
-    Rows without words or id are kept. Of several rows with that id, one stays.
+    Rows without words or id are kept. Of several rows with that id, all stay.
     """
     classes = ngram_jaccard_join(df, id_col, text_col, n, percent)
     gone = classes.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0) & ~F.col("component_id").eqNullSafe(F.col(id_col)))
