@@ -20,7 +20,7 @@ from .common import discard, materialize, maybe_broadcast, ranked, row_key
 #: Bins of one node's histogram at most, and of all open nodes' together, which the driver receives.
 BINS, ALL_BINS = 256, 100_000
 #: Errors of a cut that are put up with, as shares of a leaf's bytes: anywhere, and to keep a group of copies whole.
-TOLERANCE, COPIES = 0.001, 0.005
+TOLERANCE, COPIES = 0.001, 0.02
 _LO, _HI = -(2**63), 2**63 - 1
 
 
