@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,10 +69,10 @@ _SEGMENT_SQL = "select c_mktsegment as segment, round(sum(o_totalprice), 2) as r
 _plan("plan_flagship", _SEGMENT_SQL.format("and c_mktsegment <> 'BUILDING'"), ("revenue",), **_SEGMENT_PLAN, limit=10)
 _plan("plan_exclusion_off", _SEGMENT_SQL.format(""), ("revenue",), **_SEGMENT_PLAN, apply_global_rules=False)
 _plan(
-    "plan_filter_ops", """select o_orderkey as order_id, o_totalprice as total_price from orders where o_totalprice > 1000 and o_totalprice <= 300000 and o_orderkey >= 10 and o_orderkey < 5000
+    "plan_filter_ops", """select o_orderkey as order_id, o_totalprice as total_price from orders where o_totalprice > 1000 and o_totalprice <= 300000 and o_orderdate >= date '1996-01-01' and o_orderdate < date '1998-01-01'
     and o_orderstatus <> 'F' and o_orderpriority = '5-LOW' order by o_orderkey limit 100""",
     select=[_f("orders.order_id"), _f("orders.total_price")], order_by=[_o("order_id")],
-    filters=[_w("orders.total_price", ">", 1000), _w("orders.total_price", "<=", 300000), _w("orders.order_id", ">=", 10), _w("orders.order_id", "<", 5000), _w("orders.order_status", "!=", "F"), _w("orders.priority", "=", "5-LOW")],
+    filters=[_w("orders.total_price", ">", 1000), _w("orders.total_price", "<=", 300000), _w("orders.order_date", ">=", date(1996, 1, 1)), _w("orders.order_date", "<", date(1998, 1, 1)), _w("orders.order_status", "!=", "F"), _w("orders.priority", "=", "5-LOW")],
 )
 _plan(
     "plan_in", "select o_orderpriority as priority, count(o_orderkey) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus in ('F', 'O') group by 1",
@@ -213,7 +214,7 @@ _docs("doc_eq", "select event_id, event_type, value from events where event_type
 _docs("doc_ne", "select event_id, event_type, value from events where event_type is distinct from 'error' and user_id is distinct from 8 order by event_id limit 50", filters={"event_type": {"ne": "error"}, f"{W}.events.user_id": {"ne": 8}}, projection=_EVENT, sort=["event_id"], limit=50)
 _docs("doc_in", "select event_id, event_type, value from events where event_type in ('error', 'click') order by event_id desc limit 40", filters={"event_type": {"in": ["error", "click"]}}, projection=_EVENT, sort=[["event_id", -1]], limit=40)
 _docs("doc_nin", "select event_id, event_type, value from events where event_type not in ('error', 'click') order by value desc, event_id limit 40", filters={"event_type": {"nin": ["error", "click"]}}, projection=_EVENT, sort=[["value", -1], ["event_id", 1]], limit=40)
-_docs("doc_range", "select event_id, event_type, value from events where value >= 5 and value < 20 and event_id > 100 and user_id <= 50 order by event_id limit 100", filters={"value": {"gte": 5, "lt": 20}, "event_id": {"gt": 100}, "user_id": {"lte": 50}}, projection=_EVENT, sort=["event_id"])
+_docs("doc_range", "select event_id, event_type, value from events where value >= 5 and value < 20 and ts > timestamp '2024-01-05' and ts <= timestamp '2024-01-20 12:00:00' order by event_id limit 100", filters={"value": {"gte": 5, "lt": 20}, "ts": {"gt": datetime(2024, 1, 5), "lte": datetime(2024, 1, 20, 12)}}, projection=_EVENT, sort=["event_id"])
 _docs("doc_exists", "select event_id, event_type, value from events where props is not null order by event_id limit 20", filters={"props": {"exists": True}}, projection=_EVENT, sort=["event_id"], limit=20)
 _docs("doc_exclusion", "select c_custkey as customer_id, c_mktsegment as segment from customer where c_mktsegment is distinct from 'BUILDING' order by c_custkey limit 100", "customer", projection=["customer_id", "segment"], sort=["customer_id"])
 
@@ -266,11 +267,12 @@ _add("vec_topk_filtered", partial(_vector, where="label in (1, 2)", k=5), _VECTO
 
 
 def _slices(spark, sf_dir):
-    """Two slices that share customer_name and nation_id: customers, and the same with some names and nations changed."""
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 60")
-    left = base.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_id"))
+    """Two earlier answers that share name and nation_id: the 100 customers with the largest balances, and the first 60
+    of them with every third name and nation changed."""
+    top = lambda n: spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy(F.desc("c_acctbal"), "c_custkey").limit(n)
+    left = top(100).select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_id"))
     odd = F.col("c_custkey") % 3 == 0
-    right = base.where("c_custkey % 2 = 0").select(
+    right = top(60).select(
         F.when(odd, F.concat(F.lit(" "), F.upper("c_name"))).otherwise(F.col("c_name")).alias("name"), F.when(odd, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("nation_id"), F.col("c_acctbal").alias("balance"),
     )
     return left, right
@@ -283,9 +285,9 @@ def _fed(spark, sf_dir, strategy="exact", limit=None, nulls=False):
     return federation.combine_slices(left, right, "name", "name", strategy, limit, (["customer_id"], ["balance", "name"])).drop("_conflicts")
 
 
-_FED = """with l as (select c_custkey as customer_id, {name} as name, c_nationkey as nation_id from customer where c_custkey < 60),
+_FED = """with l as (select c_custkey as customer_id, {name} as name, c_nationkey as nation_id from (select * from customer order by c_acctbal desc, c_custkey limit 100) t),
     r as (select case when c_custkey % 3 = 0 then ' ' || upper(c_name) else c_name end as name, case when c_custkey % 3 = 0 then c_nationkey + 1 else c_nationkey end as nation_id, c_acctbal as balance
-    from customer where c_custkey < 60 and c_custkey % 2 = 0)
+    from (select * from customer order by c_acctbal desc, c_custkey limit 60) t)
     select l.customer_id as left_customer_id, l.name as left_name, l.nation_id as left_nation_id, r.name as right_name, r.nation_id as right_nation_id, r.balance as right_balance from l join r on {on}
     order by l.customer_id, r.balance, r.name limit {n}"""
 _fed_sql = lambda on, n=100, name="c_name": _FED.format(on=on, n=n, name=name)
@@ -302,7 +304,7 @@ def _fed_conflicts(spark, sf_dir):
     return federation.conflicts(joined, ["left_customer_id"])
 
 
-_add("fed_conflicts", _fed_conflicts, "select c_custkey as left_customer_id, 'nation_id' as field, c_nationkey::varchar as left, (c_nationkey + 1)::varchar as right from customer where c_custkey < 60 and c_custkey % 6 = 0")
+_add("fed_conflicts", _fed_conflicts, "select c_custkey as left_customer_id, 'nation_id' as field, c_nationkey::varchar as left, (c_nationkey + 1)::varchar as right from (select * from customer order by c_acctbal desc, c_custkey limit 60) t where c_custkey % 3 = 0")
 
 
 # Guarded SQL ------------------------------------------------------------------------------------------------------
@@ -340,8 +342,8 @@ def _replace_word(text: str, word: str, by: str) -> str:
 
 _sql("sql_left_join", "select c.segment, count(*) as n, count(o.order_id) as matched from customer c left join orders o on o.customer_id = c.customer_id and o.total_price > 400000 group by c.segment")
 _sql("sql_right_join", "select n.nation_name, count(s.supplier_id) as n from supplier s right join nation n on s.nation_id = n.nation_id and s.account_balance > 5000 group by n.nation_name")
-_sql("sql_full_join", "select coalesce(a.k, b.k) as k, a.n as a_n, b.n as b_n from (select nation_id as k, count(*) as n from customer where nation_id < 15 group by nation_id) a full join (select nation_id as k, count(*) as n from supplier where nation_id > 8 group by nation_id) b on a.k = b.k")
-_sql("sql_cross_join", "select r.region_name, n.nation_name from region r cross join nation n where n.nation_id < 4")
+_sql("sql_full_join", "select coalesce(a.k, b.k) as k, a.n as a_n, b.n as b_n from (select nation_id as k, count(*) as n from customer where account_balance > 9800 group by nation_id) a full join (select nation_id as k, count(*) as n from supplier where account_balance > 8500 group by nation_id) b on a.k = b.k")
+_sql("sql_cross_join", "select r.region_name, count(*) as n, sum(n.nation_id * r.region_id) as products from region r cross join nation n group by r.region_name")
 _sql("sql_semi_join", "select count(*) as n from customer c left semi join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000", "select count(*) as n from customer c semi join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000")
 _sql("sql_anti_join", "select count(*) as n from customer c left anti join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000", "select count(*) as n from customer c anti join orders o on o.customer_id = c.customer_id and o.order_status = 'P' and o.total_price > 300000")
 _sql("sql_theta_join", "select count(*) as n from nation a join nation b on a.nation_id < b.nation_id and a.region_id <> b.region_id")
@@ -350,15 +352,15 @@ _sql("sql_having", "select customer_id, count(*) as n, round(sum(total_price), 2
 _sql("sql_rollup", "select order_status, priority, count(*) as n from orders group by rollup(order_status, priority)")
 _sql("sql_cube", "select return_flag, line_status, count(*) as n, round(sum(quantity), 2) as units from lineitem group by cube(return_flag, line_status)")
 _sql("sql_grouping_sets", "select order_status, priority, count(*) as n from orders group by grouping sets ((order_status), (priority), ())")
-_sql("sql_rank", "select order_id, customer_id, r from (select order_id, customer_id, rank() over (partition by customer_id order by total_price desc, order_id) as r from orders) x where r <= 2 and customer_id < 20")
+_sql("sql_rank", "select r, count(*) as n, min(total_price) as least, max(total_price) as most from (select total_price, rank() over (partition by customer_id order by total_price desc, order_id) as r from orders) x where r <= 5 group by r")
 _sql("sql_dense_rank", "select part_size, dense_rank() over (order by part_size) as r, count(*) as n from part group by part_size")
-_sql("sql_lag", "select order_id, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders where customer_id < 8 order by order_id limit 100")
-_sql("sql_running_sum", "select order_id, round(sum(total_price) over (partition by customer_id order by order_date, order_id rows between unbounded preceding and current row), 2) as running, round(avg(total_price) over (partition by customer_id order by order_date, order_id rows between 2 preceding and 1 following), 2) as around from orders where customer_id < 8 order by order_id limit 100")
+_sql("sql_lag", "select order_status, count(before) as with_before, count(later) as with_later, max(total_price - before) as largest_rise, sum(later) as later_sum from (select order_status, total_price, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders) x group by order_status", "select order_status, count(before) as with_before, count(later) as with_later, max(total_price - before) as largest_rise, sum(later)::bigint as later_sum from (select order_status, total_price, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders) x group by order_status")
+_sql("sql_running_sum", "select customer_id, round(max(running), 1) as spent, round(min(around), 1) as least_around, count(*) as n from (select customer_id, sum(total_price) over (partition by customer_id order by order_date, order_id rows between unbounded preceding and current row) as running, avg(total_price) over (partition by customer_id order by order_date, order_id rows between 2 preceding and 1 following) as around from orders) x group by customer_id order by spent desc, customer_id limit 100")
 _sql("sql_ntile", "select tile, count(*) as n, min(total_price) as least, max(total_price) as most from (select total_price, ntile(4) over (order by total_price, order_id) as tile from orders) x group by tile")
-_sql("sql_first_last_value", "select distinct customer_id, first_value(order_id) over (partition by customer_id order by order_date, order_id) as first_order, max(total_price) over (partition by customer_id) as most from orders where customer_id < 30")
+_sql("sql_first_last_value", "select customer_id, max(first_order) as first_order, max(most) as most from (select customer_id, first_value(order_id) over (partition by customer_id order by order_date, order_id) as first_order, max(total_price) over (partition by customer_id) as most from orders) x group by customer_id order by most desc, customer_id limit 100")
 _sql("sql_percent_rank", "select nation_id, round(percent_rank() over (order by nation_id), 6) as p, round(cume_dist() over (order by region_id), 6) as c from nation")
 _sql("sql_union_all", "select 'c' as kind, nation_id, count(*) as n from customer group by nation_id union all select 's' as kind, nation_id, count(*) as n from supplier group by nation_id")
-_sql("sql_union", "select nation_id from customer where nation_id < 12 union select nation_id from supplier where nation_id > 8")
+_sql("sql_union", "select nation_id from customer where account_balance > 9700 union select nation_id from supplier where account_balance < 500")
 _sql("sql_intersect", "select nation_id from customer where account_balance > 9000 intersect select nation_id from supplier where account_balance > 5000")
 _sql("sql_except", "select nation_id from nation except select nation_id from supplier where account_balance > 8000")
 _sql("sql_scalar_subquery", "select count(*) as n from orders where total_price > (select avg(total_price) from orders)")
@@ -378,8 +380,8 @@ _sql("sql_pivot_by_case", "select priority, sum(case when order_status = 'F' the
 _sql("sql_filter_clause", "select order_status, count(*) filter (where total_price > 200000) as big, count(distinct customer_id) as buyers from orders group by order_status")
 _sql("sql_distinct_order_offset", "select distinct customer_id from orders order by customer_id desc limit 20 offset 5")
 _sql("sql_between_like", "select count(*) as n from part where part_size between 10 and 20 and part_name like '%ring%' and brand not in ('Brand#1') and part_type is not null")
-_sql("sql_interval_overlap", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 days where a.customer_id < 200", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 day where a.customer_id < 200")
-_sql("sql_star_is_governed", "select * from customer where customer_id < 100 order by customer_id")
+_sql("sql_interval_overlap", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 days", "select count(*) as n from orders a join orders b on a.customer_id = b.customer_id and a.order_id < b.order_id and b.order_date between a.order_date and a.order_date + interval 30 day")
+_sql("sql_star_is_governed", "select * from customer order by customer_id")
 
 #: Statements and the code that the guard gives them.
 _STATEMENTS = [
@@ -413,24 +415,24 @@ _MASK = access.Masking([f"{W}.customer.customer_name"], ["admin"])
 def _masked(spark, sf_dir, role):
     e = engine(spark, sf_dir)
     df = access.governed_views(spark, e.contract, _MASK, role)["customer"]
-    return df.select("customer_id", F.col("customer_name").alias("alias_of_name"), F.upper("customer_name").alias("shouted")).where("customer_id < 50")
+    return df.select("customer_id", F.col("customer_name").alias("alias_of_name"), F.upper("customer_name").alias("shouted"))
 
 
-_add("masked_rows", partial(_masked, role="analyst"), "select c_custkey as customer_id, '***MASKED***' as alias_of_name, '***MASKED***' as shouted from customer where c_mktsegment <> 'BUILDING' and c_custkey < 50")
-_add("unmasked_rows", partial(_masked, role="admin"), "select c_custkey as customer_id, c_name as alias_of_name, upper(c_name) as shouted from customer where c_mktsegment <> 'BUILDING' and c_custkey < 50")
+_add("masked_rows", partial(_masked, role="analyst"), "select c_custkey as customer_id, '***MASKED***' as alias_of_name, '***MASKED***' as shouted from customer where c_mktsegment <> 'BUILDING'")
+_add("unmasked_rows", partial(_masked, role="admin"), "select c_custkey as customer_id, c_name as alias_of_name, upper(c_name) as shouted from customer where c_mktsegment <> 'BUILDING'")
 _POLICIES = [{"id": "p1", "role": "viewer", "operation": "run_*"}, {"id": "p2", "metric": "final_*", "role": "intern"}, {"id": "p3", "source": "ware*", "role": "ana?yst", "effect": "allow"}, {"id": "p4", "operation": "metric_query", "metric": "b*"}]
 
 
 def _policy(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("o_orderkey") / n) % len(values) + 1).cast("int"))
-    requests = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 120").select(
+    requests = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("request"), pick(["viewer", "intern", "analyst"], 1).alias("role"), F.lit(W).alias("source"), pick(["run_guarded_sql", "metric_query"], 3).alias("operation"), pick(["final_sales", "buyers", "units"], 6).alias("metric")
     )
     return access.policy_matrix(requests, _POLICIES)
 
 
 _add("policy_matrix", _policy, """with r as (select o_orderkey as request, ['viewer', 'intern', 'analyst'][(o_orderkey % 3 + 1)::int] as role, 'warehouse' as source, ['run_guarded_sql', 'metric_query'][((o_orderkey // 3) % 2 + 1)::int] as operation,
-    ['final_sales', 'buyers', 'units'][((o_orderkey // 6) % 3 + 1)::int] as metric from orders where o_orderkey < 120),
+    ['final_sales', 'buyers', 'units'][((o_orderkey // 6) % 3 + 1)::int] as metric from orders),
     x as (select *, case when role = 'viewer' and operation like 'run_%' then 'p1' when role = 'intern' and metric like 'final%' then 'p2' when role = 'analyst' then 'p3' when operation = 'metric_query' and metric like 'b%' then 'p4' end as rule_id from r)
     select request, role, source, operation, metric, rule_id is null or rule_id = 'p3' as allowed, rule_id from x""")
 
@@ -457,7 +459,7 @@ _add("content_ids", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.p
 
 def _packet(spark, sf_dir):
     """Claims about orders, with holes: every 5th cites evidence that isn't there, every 7th evidence of an unknown query."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200").select(F.col("o_orderkey").alias("k"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
     ev = lambda c: F.concat(F.lit("ev:"), c.cast("string"))
     claim = o.select(
         F.concat(F.lit("c"), F.col("k")).alias("claim_id"), F.array(F.when(F.col("k") % 5 == 0, ev(F.col("k") + 100000)).otherwise(ev(F.col("k")))).alias("evidence_ids"),
@@ -471,7 +473,7 @@ def _packet(spark, sf_dir):
     return evidence.closure_issues(claim, cites, envelopes, "h1")
 
 
-_add("closure_issues", _packet, """with o as (select o_orderkey as k from orders where o_orderkey < 200)
+_add("closure_issues", _packet, """with o as (select o_orderkey as k from orders)
     select 'evidence_not_found' as code, 'c' || k as subject, 'ev:' || (k + 100000) as detail from o where k % 5 = 0
     union all select 'evidence_not_claim_supporting', 'c' || k, 'ev:' || k from o where k % 13 = 0 and k % 5 <> 0
     union all select 'provenance_not_found', 'ev:' || k, 'prov:x' from o where k % 7 = 0
@@ -479,12 +481,12 @@ _add("closure_issues", _packet, """with o as (select o_orderkey as k from orders
 
 
 def _trust(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 300")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     terms = o.select(F.col("o_orderkey").alias("term_id"), (F.col("o_orderkey") % 4 != 0).alias("certified"), (F.col("o_orderkey") % 3 != 0).alias("probe_ok"), F.col("o_orderdate").cast("date").alias("verified_on"), F.lit(1500).alias("max_age_days"))
     return trust.trust_signals(terms, REFERENCE).select("term_id", "age_days", "drift", "evidence_tier", "status")
 
 
-_add("trust_status", _trust, """with t as (select o_orderkey as term_id, o_orderkey % 4 <> 0 as certified, o_orderkey % 3 <> 0 as probe_ok, date_diff('day', cast(o_orderdate as date), date '2001-07-15') as age_days from orders where o_orderkey < 300),
+_add("trust_status", _trust, """with t as (select o_orderkey as term_id, o_orderkey % 4 <> 0 as certified, o_orderkey % 3 <> 0 as probe_ok, date_diff('day', cast(o_orderdate as date), date '2001-07-15') as age_days from orders),
     d as (select *, case when age_days > 1500 then 'expired' when age_days > 1500 * 0.8 then 'at_risk' else 'current' end as drift, case when certified and probe_ok then 3 when certified then 2 else 1 end::bigint as evidence_tier from t)
     select term_id, age_days, drift, evidence_tier, case when drift = 'expired' or evidence_tier = 1 then 'not_usable' when evidence_tier = 3 and drift = 'current' then 'trusted' else 'usable_with_caveats' end as status from d""")
 
@@ -495,7 +497,7 @@ def _choose(column: str, values: list, n: int):
 
 
 def _claims(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 240")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     c = o.select(
         F.col("o_orderkey").alias("claim_id"), _choose("o_orderkey", ["2001-Q1", None], 1).alias("period"), _choose("o_orderkey", ["gross", "net", "deferred", None], 2).alias("revenue_type"), _choose("o_orderkey", ["subtracted", None], 8).alias("refund_treatment"),
         _choose("o_orderkey", ["net", "gross"], 16).alias("reported_as"), _choose("o_orderkey", ["recognized", "pending"], 32).alias("recognition"),
@@ -504,20 +506,20 @@ def _claims(spark, sf_dir):
 
 
 _add("claim_decisions", _claims, """with c as (select o_orderkey as claim_id, case when o_orderkey % 2 = 0 then '2001-Q1' end as period, ['gross', 'net', 'deferred', null][((o_orderkey // 2) % 4 + 1)::int] as rt,
-    case when (o_orderkey // 8) % 2 = 0 then 's' end as rf, case when (o_orderkey // 16) % 2 = 0 then 'net' else 'gross' end as ra, case when (o_orderkey // 32) % 2 = 0 then 'recognized' else 'pending' end as rec from orders where o_orderkey < 240),
+    case when (o_orderkey // 8) % 2 = 0 then 's' end as rf, case when (o_orderkey // 16) % 2 = 0 then 'net' else 'gross' end as ra, case when (o_orderkey // 32) % 2 = 0 then 'recognized' else 'pending' end as rec from orders),
     v as (select claim_id, list_filter([case when rt = 'deferred' and rec = 'recognized' and ra = 'net' then 'deferred_reported_as_recognized_net' end, case when rt = 'gross' and ra = 'net' then 'gross_reported_as_net' end,
     case when period is null then 'period_required' end, case when rt = 'net' and rf is null then 'refund_treatment_required' end, case when rt is null then 'revenue_type_required' end], lambda x: x is not null) as v from c)
     select claim_id, case when list_contains(v, 'deferred_reported_as_recognized_net') or list_contains(v, 'gross_reported_as_net') then 'refuse' when len(v) > 0 then 'clarify' else 'valid' end as outcome, array_to_string(v, ',') as violations from v""")
 
 
 def _gate(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 200").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))  # noqa: E741
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))  # noqa: E741
     sub = l.select(F.col("l_orderkey").alias("pack_id"), _choose("p", ["valid", "valid", "valid", "valid", "clarify", "valid", "valid", "refuse"], 1).alias("outcome"), _choose("p", list(packs.TIERS[1:5]), 8).alias("tier"), (F.col("p") % 29 == 0).alias("triggered"))
     bars = l.select(F.col("l_orderkey").alias("pack_id")).distinct().withColumn("needed_tier", _choose("pack_id", ["observational", "correlational"], 1))
     return packs.gate(sub, bars)
 
 
-_add("pack_gate", _gate, """with l as (select l_orderkey as pack_id, l_linenumber, max(l_partkey) as p from lineitem where l_orderkey < 200 group by 1, 2),
+_add("pack_gate", _gate, """with l as (select l_orderkey as pack_id, l_linenumber, max(l_partkey) as p from lineitem group by 1, 2),
     s as (select pack_id, ['valid', 'valid', 'valid', 'valid', 'clarify', 'valid', 'valid', 'refuse'][(p % 8 + 1)::int] as outcome, ((p // 8) % 4 + 1)::int as rank, p % 29 = 0 as trig from l),
     g as (select pack_id, count(*) as n, min(rank) as least, bool_or(outcome = 'refuse') as r, bool_or(outcome = 'clarify') as c, bool_or(trig) as t, min(rank) < case when pack_id % 2 = 0 then 1 else 2 end as low from s group by pack_id)
     select pack_id, n, ['observational', 'correlational', 'quasi_experimental', 'experimental'][least] as min_tier, case when r then 'refuse' when c or t or low then 'review_required' else 'answer' end as decision,
@@ -525,24 +527,24 @@ _add("pack_gate", _gate, """with l as (select l_orderkey as pack_id, l_linenumbe
 
 
 def _comparable(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 300")
-    return packs.comparable(o.select((F.col("o_orderkey") % 60).alias("group_id"), F.when(F.col("o_orderkey") % 59 != 0, F.col("o_orderstatus")).alias("grain"), F.year("o_orderdate").cast("string").alias("period")))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return packs.comparable(o.select(F.col("o_custkey").alias("group_id"), F.when(F.col("o_orderkey") % 59 != 0, F.col("o_orderstatus")).alias("grain"), F.year("o_orderdate").cast("string").alias("period")))
 
 
-_add("comparable_groups", _comparable, """with s as (select o_orderkey % 60 as group_id, case when o_orderkey % 59 <> 0 then o_orderstatus end as grain, year(o_orderdate) as period from orders where o_orderkey < 300),
+_add("comparable_groups", _comparable, """with s as (select o_custkey as group_id, case when o_orderkey % 59 <> 0 then o_orderstatus end as grain, year(o_orderdate) as period from orders),
     g as (select group_id, count(*) as n, case when count(*) filter (grain is null or period is null) > 0 then 'incomplete' when count(*) < 2 then 'single_member' when count(distinct grain) > 1 then 'grain_differs' when count(distinct period) > 1 then 'period_differs' else '' end as reason from s group by 1)
     select group_id, n, reason in ('', 'single_member') as comparable, reason from g""")
 
 
 def _outcomes(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 400").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))  # noqa: E741
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))  # noqa: E741
     field = F.concat(F.lit("f"), F.col("l_linenumber"))
     want = l.select(F.col("l_orderkey").alias("decision_id"), field.alias("field"), F.col("q").cast("string").alias("value"))
     got = l.where("p % 5 <> 0").select(F.col("l_orderkey").alias("decision_id"), field.alias("field"), F.when(F.col("p") % 3 == 0, F.col("q") + 1).otherwise(F.col("q") + 0.001).cast("string").alias("value"))
     return calibration.deltas(want, got)
 
 
-_DELTAS = """with l as (select l_orderkey as decision_id, l_linenumber, max(l_partkey) as p from lineitem where l_orderkey < 400 group by 1, 2),
+_DELTAS = """with l as (select l_orderkey as decision_id, l_linenumber, max(l_partkey) as p from lineitem group by 1, 2),
     d as (select decision_id, count(*) filter (p % 5 <> 0 and p % 3 <> 0) as matched, count(*) as checks from l group by 1), s as (select *, case when matched = checks then 'match' when matched > 0 then 'partial' else 'miss' end as delta from d) """
 _add("calibration_delta", _outcomes, _DELTAS + "select * from s")
 
@@ -584,13 +586,13 @@ _add("latest_override", _latest, "select o_custkey as term, max_by(o_orderkey, (
 
 
 def _impacted(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     changed = e.select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "error", "definition_changed").otherwise("source_refreshed").alias("kind"), F.concat(F.lit("measure:"), F.col("user_id") % 5).alias("ref"), F.col("ts").alias("at"))
     terms = spark.createDataFrame([("revenue", ["measure:1", "measure:2"]), ("orders", ["measure:3"]), ("measure:4", None)], "term_id string, refs array<string>")
     return metadata.recertification_queue(metadata.touched_terms(changed, terms))
 
 
-_add("impacted_terms", _impacted, """with e as (select user_id % 5 as m from events where event_id < 400 and event_type = 'error'), t as (select case when m in (1, 2) then 'revenue' when m = 3 then 'orders' when m = 4 then 'measure:4' end as term_id from e)
+_add("impacted_terms", _impacted, """with e as (select user_id % 5 as m from events where event_type = 'error'), t as (select case when m in (1, 2) then 'revenue' when m = 3 then 'orders' when m = 4 then 'measure:4' end as term_id from e)
     select term_id, count(*) as events from t where term_id is not null group by 1""")
 
 
