@@ -116,11 +116,11 @@ def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim
     nodes = [_Node(0, shards or max(1, math.ceil(total / target_bytes)))]
     leaf = total / nodes[0].leaves
     while live := [n for n in nodes if n.leaves > 1 and total]:
+        by_first = {n.first: n for n in live}
         for r in rows.groupBy("__node").agg(*measures).collect():
-            for n in live:
-                if n.first == r["__node"]:
-                    n.total = r["total"]
-                    n.dim = max(range(len(names)), key=lambda k: (r[f"hi{names[k]}"] - r[f"lo{names[k]}"]) / max(1, whole[f"hi{names[k]}"] - whole[f"lo{names[k]}"]))  # noqa: B023
+            if n := by_first.get(r["__node"]):
+                spread = [(r[f"hi{d}"] - r[f"lo{d}"]) / max(1, whole[f"hi{d}"] - whole[f"lo{d}"]) for d in names]
+                n.total, n.dim = r["total"], spread.index(max(spread))
         _find_cuts(rows, names, live, leaf)
         cuts = spark.createDataFrame([(n.first, n.dim, *(*n.cut, None, None)[:3], n.first + n.leaves // 2) for n in live], "__n int, dim int, c0 long, c1 long, c2 long, right int")
         there = rows.join(maybe_broadcast(cuts, len(live)), F.col("__node") == F.col("__n"), "left").withColumn("__k0", F.element_at(F.array(*names), F.col("dim") + 1))

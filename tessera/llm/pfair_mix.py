@@ -39,7 +39,7 @@ def period(parts: dict[str, int]) -> dict[str, list[int]]:
     length = sum(parts.values())
     slots: dict[str, list[int]] = {k: [] for k in parts}
     due = lambda k, j: (-(-j * length // parts[k]), -parts[k], k, j)
-    waiting = [((j := 1) - 1, k) for k in parts]  # (release, source) of each source's next block
+    waiting = [(0, k) for k in parts]  # (release, source) of each source's next block
     heapq.heapify(waiting)
     ready: list[tuple] = []
     for t in range(length):
