@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,10 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import bucketed
 
 #: Bytes of text that share one dictionary, at most (one text may be longer).
 CHUNK_BYTES = 48 << 20
+#: Words whose places are packed in one row, about; level of compression.
+ROW_WORDS, LEVEL = 1 << 18, 6
+#: Buckets of the distinct-word table for each shuffle partition.
+BUCKETS = 3
 #: Characters with Unicode's White_Space property.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with one space before it, or white space up to that. A byte-level pre-tokenizer's words
@@ -60,7 +65,7 @@ def split_words(text: str, added: re.Pattern | None) -> list[str]:
 def _pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one length as compressed byte planes."""
     raw = b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
-    return zstandard.compress(raw, 3)
+    return zstandard.compress(raw, LEVEL)
 
 
 def _unpack(data: bytes, arrays: int = 1) -> list[np.ndarray]:
@@ -68,38 +73,52 @@ def _unpack(data: bytes, arrays: int = 1) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
 
 
+def _words(text: bytes, sizes: bytes) -> list[str]:
+    ends = np.cumsum(_unpack(sizes)[0], dtype=np.int64).tolist()
+    whole = zstandard.decompress(text).decode("utf-8", "surrogatepass")
+    return [whole[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 def _chunks(path: str, buckets: int, schema: pa.Schema):
-    """Of texts: a row with places in the dictionary for each, and for each chunk and bucket one with words and places."""
+    """Of texts: rows that each hold the places in the dictionary of some texts' words, and for each chunk and bucket a
+    row with words and places. Places go by falling frequency in the chunk, so that most are small numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = added_tokens(path)
         part = TaskContext.get().partitionId()
-        number, size, book = 0, 0, {}
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            of: dict[int, list[str]] = {}
-            for w in book:
-                of.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-            rows = [
-                (None, part << 32 | number, b, _pack(np.array([book[w] for w in ws])), _pack(np.array([len(w) for w in ws])), zstandard.compress("".join(ws).encode("utf-8", "surrogatepass"), 3))
-                for b, ws in sorted(of.items())
-            ]
+        number, size, book, keys, texts = 0, 0, {}, [], []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            chunk, count = part << 32 | number, np.array([len(t) for t in texts], np.int64)
+            codes = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+            order = np.argsort(-np.bincount(codes, minlength=len(book)), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            codes, words, rows = place[codes], list(book), []
+            ends = np.cumsum(count)
+            group = (ends - count) // ROW_WORDS
+            for i in np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(count) else ():
+                j = int(np.searchsorted(group, group[i], "right"))
+                rows.append((keys[i:j], chunk, None, _pack(codes[ends[i] - count[i] : ends[j - 1]]), _pack(count[i:j]), None))
+            of: dict[int, list[int]] = {}
+            for k, at in enumerate(order):
+                of.setdefault(zlib.crc32(words[at].encode("utf-8", "surrogatepass")) % buckets, []).append(k)
+            for b, own in sorted(of.items()):
+                mine = [words[order[k]] for k in own]
+                rows.append((None, chunk, b, _pack(np.diff(own, prepend=0)), _pack(np.array([len(w) for w in mine])), zstandard.compress("".join(mine).encode("utf-8", "surrogatepass"), LEVEL)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            out = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = split_words(text.as_py() or "", added)
-                codes = np.fromiter((book.setdefault(w, len(book)) for w in words), np.int64, len(words))
-                out.append((key.as_py(), part << 32 | number, None, _pack(codes), None, None))
+                texts.append(np.fromiter((book.setdefault(w, len(book)) for w in words), np.int32, len(words)))
+                keys.append(key.as_py())
                 size += sum(map(len, words))
                 if size >= CHUNK_BYTES:
-                    yield from dictionary()
-                    number, size, book = number + 1, 0, {}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-        yield from dictionary()
+                    yield from finish()
+                    number, size, book, keys, texts = number + 1, 0, {}, [], []
+        yield from finish()
 
     return run
 
@@ -110,19 +129,19 @@ def _encoded(path: str):
     def run(table: pa.Table) -> pa.Table:
         rows, known = [], {}
         for sizes, text in zip(table.column("sizes"), table.column("words"), strict=True):
-            ends = np.cumsum(_unpack(sizes.as_py())[0], dtype=np.int64).tolist()
-            text = zstandard.decompress(text.as_py()).decode("utf-8", "surrogatepass")
-            rows.append([text[i:j] for i, j in zip([0, *ends], ends, strict=False)])
+            rows.append(_words(text.as_py(), sizes.as_py()))
             for w in rows[-1]:
                 known.setdefault(w, len(known))
-        words = list(known)
-        ids = []
-        for k in range(0, len(words), 20_000):  # encodings are large objects
-            ids += [np.array(e.ids, np.int64) for e in _tokenizer(path).encode_batch(words[k : k + 20_000], add_special_tokens=False)]
-        packed = []
+        words, flat, size = list(known), array("I"), array("I")
+        for k in range(0, len(words), 4096):  # encodings are large objects
+            for e in _tokenizer(path).encode_batch(words[k : k + 4096], add_special_tokens=False):
+                flat.extend(e.ids)
+                size.append(len(e.ids))
+        ids, size = np.frombuffer(flat, np.uint32), np.frombuffer(size, np.uint32).astype(np.int64)
+        start, packed = np.cumsum(size) - size, []
         for ws in rows:
-            mine = [ids[known[w]] for w in ws]
-            packed += [_pack(np.array([len(x) for x in mine])), _pack(np.concatenate(mine))]
+            at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
+            packed += [_pack(size[at]), _pack(ids[_spread(start[at], size[at])])]
         return pa.table({"chunk": table.column("chunk"), "codes": table.column("codes"), "counts": pa.array(packed[::2], pa.binary()), "ids": pa.array(packed[1::2], pa.binary())})
 
     return run
@@ -142,8 +161,8 @@ def _texts(schema: pa.Schema, pieces):
     """Of one chunk's texts and dictionary: ids by position, and the decoded text."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ends, blob = pieces.value
-        parts = [(_unpack(a.as_py())[0], _unpack(b.as_py())[0], _unpack(c.as_py())[0]) for a, b, c in zip(words.column("codes"), words.column("counts"), words.column("ids"), strict=True)]
+        edges, blob = pieces.value
+        parts = [(np.cumsum(_unpack(a.as_py())[0], dtype=np.int64), _unpack(b.as_py())[0], _unpack(c.as_py())[0]) for a, b, c in zip(words.column("codes"), words.column("counts"), words.column("ids"), strict=True)]
         total = max((int(a.max()) + 1 for a, _, _ in parts if len(a)), default=0)
         count, start = np.zeros(total, np.int64), np.zeros(total, np.int64)
         ids = np.concatenate([c for _, _, c in parts]) if parts else np.zeros(0, np.uint32)
@@ -152,15 +171,17 @@ def _texts(schema: pa.Schema, pieces):
             count[a] = n
             start[a] = at + np.cumsum(n, dtype=np.int64) - n
             at += len(c)
-        made = []
-        for code in docs.column("codes"):
-            places = _unpack(code.as_py())[0]
-            mine = ids[_spread(start[places], count[places])]
-            begin = np.where(mine > 0, ends[mine - 1], 0) if len(mine) else np.zeros(0, np.int64)
-            text = blob[_spread(begin, ends[mine] - begin)].tobytes()
-            made.append((len(mine), mine.astype("<u4").tobytes(), text.decode("utf-8", "replace")))
+        keys, made = [], []
+        for own, sizes, codes in zip(docs.column("keys"), docs.column("sizes"), docs.column("codes"), strict=True):
+            keys += own.as_py()
+            all_places, ends = _unpack(codes.as_py())[0], np.cumsum(_unpack(sizes.as_py())[0], dtype=np.int64)
+            for places in np.split(all_places, ends[:-1]):
+                mine = ids[_spread(start[places], count[places])]
+                begin = np.where(mine > 0, edges[mine - 1], 0) if len(mine) else np.zeros(0, np.int64)
+                text = blob[_spread(begin, edges[mine] - begin)].tobytes()
+                made.append((len(mine), mine.astype("<u4").tobytes(), text.decode("utf-8", "replace")))
         n, i, t = zip(*made, strict=True) if made else ((), (), ())
-        return pa.table([docs.column(0), pa.array(n, pa.int64()), pa.array(i, pa.binary()), pa.array(t, pa.string())], schema=schema)
+        return pa.table([pa.array(c, k) for c, k in zip((keys, n, i, t), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -188,7 +209,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     Null and empty texts have no tokens and decode to ''. Repeated rows and null ids each give a row. An empty df gives
     an empty result. Other columns of df are ignored, whatever their names. A task holds one chunk's dictionary, one
-    bucket's distinct words (buckets: spark.sql.shuffle.partitions), or one chunk's packed texts.
+    bucket's distinct words (BUCKETS times spark.sql.shuffle.partitions of them), or one chunk's packed texts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -196,9 +217,10 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     docs = df.select(F.col(id_col).alias("__key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = docs.schema["__key"].dataType
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    made = f"__key {key.simpleString()}, chunk long, bucket int, codes binary, sizes binary, words binary"
+    made = f"keys array<{key.simpleString()}>, chunk long, bucket int, codes binary, sizes binary, words binary"
     kinds = to_arrow_schema(spark.createDataFrame([], made).schema)
-    split = materialize(docs.mapInArrow(_chunks(tokenizer, buckets, kinds), made), "chunks")
+    # Bucketed by chunk, so that the packed texts are read where their chunk is put together, without a shuffle.
+    split = bucketed(docs.mapInArrow(_chunks(tokenizer, BUCKETS * buckets, kinds), made), "chunk", buckets, "chunks")
     words = split.where("bucket is not null").select("chunk", "bucket", "codes", "sizes", "words")
     words = words.groupBy("bucket").applyInArrow(_encoded(tokenizer), "chunk long, codes binary, counts binary, ids binary")
     table = piece_table(tokenizer)
@@ -206,7 +228,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     pieces = spark.sparkContext.broadcast((np.cumsum([len(b) for b in blob], dtype=np.int64), np.frombuffer(b"".join(blob), np.uint8)))
     result = f"__key {key.simpleString()}, n_tokens long, ids binary, decoded string"
     out_schema = to_arrow_schema(spark.createDataFrame([], result).schema)
-    texts = split.where("bucket is null").select("__key", "chunk", "codes")
+    texts = split.where("bucket is null").select("keys", "chunk", "codes", "sizes")
     out = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_texts(out_schema, pieces), result)
     return out.withColumnRenamed("__key", id_col)
 

@@ -58,6 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """df written like materialize() and bucketed by a column: grouping by it needs no shuffle of what is read."""
+    spark = df.sparkSession
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for a broadcast if ``rows``, its counted size, is within the bound; else as it is."""
     return F.broadcast(df) if rows <= most else df
