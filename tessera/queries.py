@@ -355,7 +355,7 @@ _sql("sql_grouping_sets", "select order_status, priority, count(*) as n from ord
 _sql("sql_rank", "select r, count(*) as n, min(total_price) as least, max(total_price) as most from (select total_price, rank() over (partition by customer_id order by total_price desc, order_id) as r from orders) x where r <= 5 group by r")
 _sql("sql_dense_rank", "select part_size, dense_rank() over (order by part_size) as r, count(*) as n from part group by part_size")
 _sql("sql_lag", "select order_status, count(before) as with_before, count(later) as with_later, max(total_price - before) as largest_rise, sum(later) as later_sum from (select order_status, total_price, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders) x group by order_status", "select order_status, count(before) as with_before, count(later) as with_later, max(total_price - before) as largest_rise, sum(later)::bigint as later_sum from (select order_status, total_price, lag(total_price) over (partition by customer_id order by order_date, order_id) as before, lead(order_id, 2) over (partition by customer_id order by order_date, order_id) as later from orders) x group by order_status")
-_sql("sql_running_sum", "select customer_id, round(max(running), 1) as spent, round(min(around), 1) as least_around, count(*) as n from (select customer_id, sum(total_price) over (partition by customer_id order by order_date, order_id rows between unbounded preceding and current row) as running, avg(total_price) over (partition by customer_id order by order_date, order_id rows between 2 preceding and 1 following) as around from orders) x group by customer_id order by spent desc, customer_id limit 100")
+_sql("sql_running_sum", "select customer_id, round(max(running), 2) as spent, round(min(around), 6) as least_around, count(*) as n from (select customer_id, sum(total_price) over (partition by customer_id order by order_date, order_id rows between unbounded preceding and current row) as running, avg(total_price) over (partition by customer_id order by order_date, order_id rows between 2 preceding and 1 following) as around from orders) x group by customer_id order by spent desc, customer_id limit 100")
 _sql("sql_ntile", "select tile, count(*) as n, min(total_price) as least, max(total_price) as most from (select total_price, ntile(4) over (order by total_price, order_id) as tile from orders) x group by tile")
 _sql("sql_first_last_value", "select customer_id, max(first_order) as first_order, max(most) as most from (select customer_id, first_value(order_id) over (partition by customer_id order by order_date, order_id) as first_order, max(total_price) over (partition by customer_id) as most from orders) x group by customer_id order by most desc, customer_id limit 100")
 _sql("sql_percent_rank", "select nation_id, round(percent_rank() over (order by nation_id), 6) as p, round(cume_dist() over (order by region_id), 6) as c from nation")
