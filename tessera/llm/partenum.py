@@ -408,7 +408,10 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if held:
         cand = docs.mapInArrow(_named(n), "node long, text string").join(maybe_broadcast(nodes, held), "node", "left_semi").dropDuplicates(["node"])
         cand = materialize(cand.mapInArrow(_sketched(n), "node long, size long, sketch binary, text string"), "candidates")
-        close = shared.join(cand.select("node", "size", "sketch"), "node").select("sig", "node", "size", "sketch")
+        # Copies of each other share many signatures: of those with the same nodes one will do.
+        alike = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        once = alike.groupBy("x", "n", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
+        close = shared.join(once, "sig", "left_semi").join(cand.select("node", "size", "sketch"), "node").select("sig", "node", "size", "sketch")
         close = close.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_close(percent), "a long, b long").distinct()
         groups = components(close, "groups")
         temporary += [cand, groups]
