@@ -132,11 +132,12 @@ def _sets(n: int):
 
 
 def _signed(n: int, bands: Bands, hot=None):
-    """Rows (sig, node) of every set, once in a task. A hot signature becomes one of ``hot``'s salts for each node."""
+    """Rows (sig, node, false) of every set, once in a task. Instead of those of hot signatures there are edges
+    (known node, node, true): all nodes of such a signature are in one candidate group, whatever their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task; at most one number for each of its rows
-        known, _, salts = hot.value if hot else (np.zeros(0, np.int64), None, 1)
+        known, bridge = hot.value if hot else (np.zeros(0, np.int64), None)
         for whole in batches:
             for batch in _slices(whole, "text"):
                 nodes, sigs = [], []
@@ -147,49 +148,40 @@ def _signed(n: int, bands: Bands, hot=None):
                         nodes.append(np.full(len(sigs[-1]), node, np.int64))
                 if sigs:
                     sig, node = np.concatenate(sigs), np.concatenate(nodes)
+                    is_hot = np.zeros(len(sig), bool)
                     if len(known):
-                        is_hot = known[np.minimum(np.searchsorted(known, sig), len(known) - 1)] == sig
-                        sig[is_hot] = _salted(sig[is_hot], node[is_hot].view(np.uint64) % np.uint64(salts))
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
-
-    return run
-
-
-def _salted(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    return B.mix(sig.view(np.uint64) ^ B.mix(salt.astype(np.uint64), 40), 41).view(np.int64)
-
-
-def _bridges(hot):
-    """Each hot signature's known node with all of its salts: every other node of it meets that one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, node, salts = hot.value
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_salted(known[at // salts], (at % salts).astype(np.uint64))), pa.array(node[at // salts])], ["sig", "node"])
+                        at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
+                        is_hot = known[at] == sig
+                        star = np.unique(np.stack([bridge[at[is_hot]], node[is_hot]], 1), axis=0)
+                        star = star[star[:, 0] != star[:, 1]]
+                        sig, node = np.r_[sig[~is_hot], star[:, 0]], np.r_[node[~is_hot], star[:, 1]]
+                    edge = np.arange(len(sig)) >= (~is_hot).sum()
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(edge)], ["sig", "node", "edge"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, node): those whose signature more than one node has. Memory is one batch."""
-    last, wanted = None, False  # the row whose successor isn't known yet, and whether its predecessor has its signature
+    """Of rows sorted by (edge, sig, node): those whose signature more than one node has, and all distinct edges.
+
+    Memory is one batch."""
+    names, last, wanted = ["sig", "node", "edge"], None, False  # the row whose successor isn't known yet, and whether its predecessor has its signature
     for batch in batches:
-        sig, node = (batch.column(k).to_numpy() for k in range(2))
+        sig, node, edge = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         if not len(sig):
             continue
         if last is not None:
-            sig, node = np.r_[last[0], sig], np.r_[last[1], node]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[fresh], node[fresh]
-        same = sig[1:] == sig[:-1]
-        keep = np.r_[same, False] | np.r_[wanted, same]
-        last, wanted = (sig[-1], node[-1]), bool(keep[-1])
+            sig, node, edge = np.r_[last[0], sig], np.r_[last[1], node], np.r_[last[2], edge]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (edge[1:] != edge[:-1])]
+        sig, node, edge = sig[fresh], node[fresh], edge[fresh]
+        same = (sig[1:] == sig[:-1]) & (edge[1:] == edge[:-1])
+        keep = np.r_[same, False] | np.r_[wanted, same] | edge
+        last, wanted = (sig[-1], node[-1], edge[-1]), bool(keep[-1])
         keep[-1] = False
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, node, edge)], names)
     if last is not None and wanted:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["sig", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -354,19 +346,19 @@ def _linked(n: int, percent: int, across: bool):
     return run
 
 
-def _hot_signatures(texts: DataFrame, rows: int, n: int, bands: Bands, salts: int):
-    """Broadcast (signatures, a node of each, salts) of those that many texts of a sample share; None if there are none.
+def _hot_signatures(texts: DataFrame, rows: int, n: int, bands: Bands):
+    """Broadcast (signatures, a node of each) of those that many texts of a sample share; None if there are none.
 
-    The sample is by hash and holds HOT_SAMPLE texts at most, so the list is bounded. It only decides how rows are dealt
-    out; results don't depend on it.
+    The sample is by hash and holds about HOT_SAMPLE texts at most, so the list is bounded. It only decides which nodes
+    are compared without asking their sketches first; results don't depend on it.
     """
     every = max(HOT_EVERY, rows // HOT_SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0).mapInArrow(_signed(n, bands), "sig long, node long").distinct()
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0).mapInArrow(_signed(n, bands), "sig long, node long, edge boolean").distinct()
     got = some.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where(F.col("n") >= HOT_COUNT).select("sig", "node").collect()
     if not got:
         return None
     got.sort()
-    return texts.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64), salts))
+    return texts.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.int64)))
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -377,7 +369,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     100 * |intersection| >= percent * |union|, and component_id is the smallest id reachable by links.
 
     Rows with equal sets count as one node throughout, so copies are never paired with each other. Nodes that share a
-    signature, and whose sizes and sketches allow a link, are connected by edges, and the components of these edges are
+    signature, and whose sizes and sketches allow a link or whose signature is hot, are connected by edges, and the components of these edges are
     the candidate groups: no link leaves one. A group's sets meet in one task, which compares pairs until all linked ones are in one component
     and returns links that join components, less than one for each set; pairs are never laid out. A group with more than
     BLOCK_NODES sets or BLOCK_BYTES of text is cut into blocks: first each block by itself, together with the group's
@@ -396,13 +388,15 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     texts = docs.select("text").where("text is not null")
-    hot = _hot_signatures(texts, rows.count(), n, bands, parts)
-    signed = texts.mapInArrow(_signed(n, bands, hot), "sig long, node long")
-    if hot:
-        signed = signed.union(spark.range(len(hot.value[0]) * parts).mapInArrow(_bridges(hot), "sig long, node long"))
-    shared = materialize(signed.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long"), "shared")
-    nodes = materialize(shared.select("node").distinct(), "nodes")
-    temporary += [shared, nodes]
+    hot = _hot_signatures(texts, rows.count(), n, bands)
+    # Star edges are dealt out by node: a hot signature's known node has very many.
+    place = F.when(F.col("edge"), F.col("node")).otherwise(F.col("sig"))
+    signed = texts.mapInArrow(_signed(n, bands, hot), "sig long, node long, edge boolean")
+    signed = signed.repartition(parts, place).sortWithinPartitions("edge", "sig", "node")
+    both = materialize(signed.mapInArrow(_runs, "sig long, node long, edge boolean"), "shared")
+    shared, star = both.where("not edge").select("sig", "node"), both.where("edge").select(F.col("sig").alias("a"), F.col("node").alias("b"))
+    nodes = materialize(shared.select("node").union(star.select("a")).union(star.select("b")).distinct(), "nodes")
+    temporary += [both, nodes]
     held = nodes.count()
     found, comps, groups = 0, None, None
     if held:
@@ -412,8 +406,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         alike = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
         once = alike.groupBy("x", "n", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
         close = shared.join(once, "sig", "left_semi").join(cand.select("node", "size", "sketch"), "node").select("sig", "node", "size", "sketch")
-        close = close.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_close(percent), "a long, b long").distinct()
-        groups = components(close, "groups")
+        close = close.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(_close(percent), "a long, b long")
+        groups = components(close.union(star), "groups")
         temporary += [cand, groups]
         groups = materialize(groups, "groups")
         temporary.append(groups)

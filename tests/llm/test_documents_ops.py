@@ -72,6 +72,21 @@ def test_jaccard_join_in_blocks_and_with_hot_signatures(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_classes([tuple(r) for r in df.collect()], 4, 85)
 
 
+def test_jaccard_join_of_a_star_with_hot_signatures(spark, monkeypatch):
+    """Every copy links with the base text, and hardly any two copies with each other."""
+    monkeypatch.setattr(partenum, "HOT_EVERY", 1)
+    monkeypatch.setattr(partenum, "HOT_COUNT", 4)
+    rng, base, rows = random.Random(5), [f"w{k}" for k in range(300)], []
+    for k in range(400):
+        mine = list(base)
+        for at in rng.sample(range(4, 292, 8), 6):
+            mine[at] = f"z{rng.randrange(10**9)}"
+        rows.append((k + 1, " ".join(mine)))
+    df = spark.createDataFrame([(0, " ".join(base)), *rows], "doc_id long, text string")
+    got = sorted(map(tuple, partenum.ngram_jaccard_join(df, n=4, percent=85).collect()), key=str)
+    assert got == brute_classes([tuple(r) for r in df.collect()], 4, 85) and {r[2] for r in got} == {0}
+
+
 def test_jaccard_join_awkward(spark):
     df = awkward(spark)
     got = partenum.ngram_jaccard_join(df, n=4, percent=85)
