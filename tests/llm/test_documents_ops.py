@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -311,6 +312,44 @@ def test_schedule_equals_earliest_deadline_first(seed):
     assert [slots[t] for t in sorted(slots)] == brute_mix(parts, blocks) and sorted(slots) == list(range(sum(blocks.values())))
 
 
+@pytest.mark.parametrize("count", [2, 21, 101])
+def test_schedule_keeps_to_the_exact_weights(count):
+    """At any slot each source is less than a block from its share by the weights that are given, not rounded ones."""
+    weights = {"half": 0.5, "tiny": 0.0001, "small": 0.0009} | {f"s{k:03}": 0.499 / count for k in range(count)}
+    blocks = {"half": 30_000, "tiny": 3, "small": 200} | {f"s{k:03}": 25_000 // count for k in range(count)}
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    done, ends = dict.fromkeys(blocks, 0), sorted({Fraction(n) / exact[k] for k, n in blocks.items()})
+    at, v, live = Fraction(0), Fraction(0), sum(exact.values())  # T(v) = at; slope ``live`` up to the next end
+    for t, (k, b, slot) in enumerate(pfair_mix.schedule(weights, blocks), 1):
+        assert slot == t - 1 and b == done[k]
+        done[k] += 1
+        while ends and at + (ends[0] - v) * live <= t:
+            at, v = at + (ends[0] - v) * live, ends[0]
+            ends, live = ends[1:], sum(exact[s] for s, n in blocks.items() if Fraction(n) / exact[s] > v)
+        if t % 499 == 0 or t > 49_990:
+            now = v + (t - at) / live if live else v
+            assert all(abs(done[s] - min(exact[s] * now, n)) < 1 for s, n in blocks.items())
+    assert done == blocks
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_exact_schedule_equals_periodic_one_while_no_source_runs_out(seed):
+    rng = random.Random(seed)
+    parts = pfair_mix.whole_parts({f"s{k}": rng.random() + 0.05 for k in range(rng.randrange(1, 6))}, 40)
+    blocks = {k: rng.randrange(300, 500) for k in parts}
+    # A window has 41 slots at most: those of these slots end before the first share is used up.
+    until = int(min(n * sum(parts.values()) / parts[k] for k, n in blocks.items())) - 41
+    got = [(k, b) for k, b, _ in pfair_mix.schedule({k: float(n) for k, n in parts.items()}, blocks)]
+    assert got[:until] == brute_mix(parts, blocks)[:until] and len(set(got)) == sum(blocks.values())
+
+
+def test_weights_of_zero_come_last():
+    got = [k for k, _, _ in pfair_mix.schedule({"a": 0.0, "b": 0.3, "c": 0}, {"a": 2, "b": 5, "c": 2})]
+    assert got == ["b"] * 5 + ["a", "c"] * 2
+    with pytest.raises(ValueError, match="negative"):
+        list(pfair_mix.schedule({"a": -1.0}, {"a": 1}))
+
+
 def test_mixture(spark):
     rows = [(k, f"t{k}", "hot" if k % 3 else f"s{k % 5}") for k in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
