@@ -23,8 +23,6 @@ from .common import materialize, maybe_broadcast, ranked, row_key
 
 #: Documents of a block, parts of a period (of phases() only), exponent of a source's size in its default weight.
 BLOCK, PARTS, POWER = 64, 1000, 0.7
-#: Sources scheduled on their own; smaller ones share one schedule entry. Bounds the tables on the driver.
-MAX_SOURCES = 256
 
 
 def whole_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -149,8 +147,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id
     """df with ``mix_block`` (of its source, from 0), ``mix_slot`` and ``mix_position``, by which the mixture is ordered.
 
     ``weights`` are by source (sources left out get the smallest weight given); by default a source's weight is its
-    number of rows to the power 0.7. The MAX_SOURCES - 1 largest sources (ties by name) are scheduled on their own, the
-    others share one entry. Every row has a position, none is dropped or repeated. After any number of slots a source has
+    number of rows to the power 0.7. Every source is scheduled on its own, however many there are. Every row has a position, none is dropped or repeated. After any number of slots a source has
     less than one block more or less than its share by its exact weight; what sources whose share is used up leave goes
     to the rest in proportion to their weights. Within a source rows follow a hash of id and text. Positions have gaps
     where a last block isn't full. Weights that are negative or not finite are an error; sources of weight 0 come last.
@@ -162,23 +159,18 @@ def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id
     spark = df.sparkSession
     df = df.drop("mix_block", "mix_slot", "mix_position")
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    most = df.select(name.alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s")
-    sizes = {r["s"]: r["count"] for r in most.limit(MAX_SOURCES - 1).collect()}
-    rest = df.count() - sum(sizes.values())
-    own = list(sizes)
-    if rest:
-        sizes["rest"] = rest
-    if not sizes:
-        return df.withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
     given = {f"={k}": w for k, w in weights.items()} if weights else {}
     if not all(math.isfinite(w) and w >= 0 for w in given.values()):
         raise ValueError("weights must be finite and not negative")
-    known = spark.createDataFrame(list(sizes.items()), "__s string, n long")
-    table = materialize(known.repartition(1).mapInArrow(_planned(given, block), "__s string, __b long, mix_slot long"), "mix-plan")
-    keyed = df.withColumn("__s0", F.when(name.isin(own), name).otherwise(F.lit("rest")))
+    keyed = df.withColumn("__s0", name)
+    sizes = keyed.groupBy("__s0").count().repartition(1)
+    table = materialize(sizes.mapInArrow(_planned(given, block), "__s string, __b long, mix_slot long"), "mix-plan")
+    slots = table.count()
+    if not slots:
+        return df.withColumns({c: F.lit(None).cast("long") for c in ("mix_block", "mix_slot", "mix_position")})
     keyed = keyed.withColumn("__h", row_key(F.col(id_col), F.xxhash64(text_col)))
     laid = ranked(keyed, ["__s0"], ["__h"], "__rank", "mix").withColumn("mix_block", F.floor(F.col("__rank") / block))
-    out = laid.join(maybe_broadcast(table, table.count()), (F.col("__s0") == F.col("__s")) & (F.col("mix_block") == F.col("__b")))
+    out = laid.join(maybe_broadcast(table, slots), (F.col("__s0") == F.col("__s")) & (F.col("mix_block") == F.col("__b")))
     out = out.withColumn("mix_position", F.col("mix_slot") * block + F.col("__rank") % block)
     return out.select(*df.columns, "mix_block", "mix_slot", "mix_position")
 

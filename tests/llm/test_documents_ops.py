@@ -343,6 +343,19 @@ def test_exact_schedule_equals_periodic_one_while_no_source_runs_out(seed):
     assert got[:until] == brute_mix(parts, blocks)[:until] and len(set(got)) == sum(blocks.values())
 
 
+def test_every_one_of_many_sources_has_its_weight(spark):
+    """The smallest of 400 sources has the largest weight: its rows come at its own rate."""
+    rows = [(k, f"t{k}", f"s{k % 400:03}") for k in range(4000)] + [(4000 + k, f"u{k}", "tail") for k in range(9)]
+    weights = {f"s{k:03}": 1.0 for k in range(400)} | {"tail": 400.0}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pfair_mix.mix_sources(df, weights=weights, block=1).toPandas()
+    assert sorted(got.doc_id) == list(range(4009)) and sorted(got.mix_slot) == list(range(4009))
+    assert sorted(got[got.source == "tail"].mix_slot // 2) == list(range(9))
+    # From slot 18 on the 400 others have a slot each of every 400.
+    per = got[(got.source != "tail") & (got.mix_slot >= 18)].assign(turn=lambda x: (x.mix_slot - 18) // 400)
+    assert per.groupby(["source", "turn"]).size().max() <= 2
+
+
 def test_weights_of_zero_come_last():
     got = [k for k, _, _ in pfair_mix.schedule({"a": 0.0, "b": 0.3, "c": 0}, {"a": 2, "b": 5, "c": 2})]
     assert got == ["b"] * 5 + ["a", "c"] * 2
