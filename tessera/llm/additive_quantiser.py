@@ -1,8 +1,9 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of one full-dimensional codeword from each codebook, found by beam search. Its index
 entry is the codeword numbers and the approximation's squared norm. A query's distances to all entries follow from a
-lookup table of its products with all codewords; the best of each block of entries are ranked anew by exact distances.
+lookup table of its products with all codewords; the best of each block of entries are ranked anew by exact distances,
+and then all others whose approximate distance less their quantisation error isn't above the worst of those kept.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .common import materialize
 
 #: Bound of the training sample, in vectors; codebooks; codewords of each; width of the beam; rounds of k-means.
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 8192, 8, 256, 4, 6
-#: Entries of an index block, entries of it that are ranked exactly for each query, queries of a block.
+#: Entries of an index block, entries of it that are ranked exactly first for each query, queries of a block.
 BLOCK, SHORT, QUERIES = 4096, 256, 1024
+#: Pairs of a query and an entry whose exact distances are reckoned at once.
+PAIRS = 1 << 16
 #: Index blocks that one task holds at once.
 HELD = 32
 
@@ -79,19 +82,41 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[rows, best], ((x - rest[rows, best]) ** 2).sum(1)
 
 
-def shortlist(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Entries (query, place) with the smallest approximate distances; equal ones by smaller id. ids must be sorted."""
+def shortlist(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries (query, place) with the smallest approximate distances, equal ones by smaller id, and all entries' squared
+    approximate distances less the query's squared norm. ids must be sorted."""
     table = np.einsum("qd,mwd->qmw", queries.astype(np.float32), books)
     score = np.broadcast_to(norms.astype(np.float32), (len(queries), len(codes))).copy()
     for m in range(len(books)):
         score -= 2 * table[:, m][:, codes[:, m]]
     keep = min(keep, len(codes))
     if keep == len(codes):
-        return np.broadcast_to(np.arange(keep), score.shape)
+        return np.broadcast_to(np.arange(keep), score.shape), score
     edge = np.partition(score, keep - 1, axis=1)[:, keep - 1 : keep]
     # All below the edge, then those on it from the smallest id on.
     rank = np.where(score < edge, 0, np.where(score == edge, 1, 2)).astype(np.int8)
-    return np.argsort(rank, axis=1, kind="stable")[:, :keep]
+    return np.argsort(rank, axis=1, kind="stable")[:, :keep], score
+
+
+def within(q: np.ndarray, x: np.ndarray, books: np.ndarray, score: np.ndarray, errors: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """Whether each entry (query, place) may be no further from the query than ``worst`` (one for each query).
+
+    An entry's distance is at least its approximate distance less its quantisation error; what that leaves over is
+    looked at by products of the vectors. Both allow for rounding, and a bound that isn't finite rules nothing out.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        long = np.sqrt((q**2).sum(1))[:, None]
+        reach = np.sqrt((books.astype(np.float64) ** 2).sum(2)).max(1).sum()
+        low = long**2 + score - (q.shape[1] + 16) * 2.0**-23 * (long + reach) ** 2
+        low = np.where(np.isfinite(low), np.sqrt(np.maximum(low, 0)) - errors, -np.inf)
+        may = ~(low > worst[:, None])
+        some = np.flatnonzero(may.any(0))
+        if len(some):
+            y = x[some]
+            size = np.sqrt((y**2).sum(1))
+            square = long**2 + size**2 - 2 * (q @ y.T) - (q.shape[1] + 16) * 2.0**-50 * (long + size) ** 2
+            may[:, some] &= ~(square > worst[:, None] ** 2)
+    return may
 
 
 def _matrix(blob: bytes, kind, width: int) -> np.ndarray:
@@ -111,8 +136,9 @@ def _index(books, salts: int, dim: int):
                 parts = [encode(x[i : i + 512], b) for i in range(0, len(x), 512)]
                 codes, norms = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
                 salt = int(np.bitwise_xor.reduce(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % salts
-                row = [[salt], [ids.tobytes()], [np.ascontiguousarray(x).tobytes()], [codes.tobytes()], [norms.astype(np.float32).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *[pa.array(v, pa.binary()) for v in row[1:]]], ["salt", "ids", "vectors", "codes", "norms"])
+                errors = np.sqrt(((x - sum(b[m].astype(np.float64)[codes[:, m]] for m in range(len(b)))) ** 2).sum(1))
+                row = [[salt], [ids.tobytes()], [np.ascontiguousarray(x).tobytes()], [codes.tobytes()], [norms.astype(np.float32).tobytes()], [errors.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *[pa.array(v, pa.binary()) for v in row[1:]]], ["salt", "ids", "vectors", "codes", "norms", "errors"])
 
     return run
 
@@ -123,20 +149,35 @@ def _search(books, dim: int, kind: str, top: int, short: int):
         found = []
         for qb in range(queries.num_rows):
             qid = np.frombuffer(queries.column("qids")[qb].as_py(), np.int64)
-            q = _matrix(queries.column("qvectors")[qb].as_py(), kind, dim)
+            q = _matrix(queries.column("qvectors")[qb].as_py(), kind, dim).astype(np.float64)
+            best = np.full((len(q), top), np.inf)  # of all blocks so far
             for k in range(blocks.num_rows):
                 ids = np.frombuffer(blocks.column("ids")[k].as_py(), np.int64)
-                x = _matrix(blocks.column("vectors")[k].as_py(), kind, dim)
+                x = _matrix(blocks.column("vectors")[k].as_py(), kind, dim).astype(np.float64)
                 codes = _matrix(blocks.column("codes")[k].as_py(), np.uint8 if b.shape[1] <= 256 else np.uint16, len(b))
                 norms = np.frombuffer(blocks.column("norms")[k].as_py(), np.float32)
+                errors = np.frombuffer(blocks.column("errors")[k].as_py(), np.float64)
                 for i in range(0, len(q), 128):
-                    near = shortlist(q[i : i + 128], b, codes, norms, ids, short + 1)
-                    d = np.sqrt(((x[near].astype(np.float64) - q[i : i + 128, None].astype(np.float64)) ** 2).sum(2))
-                    d[ids[near] == qid[i : i + 128, None]] = np.inf
-                    order = np.lexsort((ids[near], d), axis=1)[:, :top]
-                    d, near = np.take_along_axis(d, order, 1), np.take_along_axis(near, order, 1)
-                    real = np.isfinite(d)
-                    found.append((np.repeat(qid[i : i + 128], real.sum(1)), ids[near][real], d[real]))
+                    mine, me = q[i : i + 128], qid[i : i + 128, None]
+                    near, score = shortlist(mine, b, codes, norms, ids, short + 1)
+                    d = np.full(score.shape, np.inf)
+                    np.put_along_axis(d, near, np.sqrt(((x[near] - mine[:, None]) ** 2).sum(2)), 1)
+                    d[ids == me] = np.inf
+                    last = min(top, len(ids)) - 1
+                    worst = np.partition(d, last, axis=1)[:, last] if top <= len(ids) else np.full(len(mine), np.inf)
+                    worst = np.minimum(worst, best[i : i + 128, -1])
+                    may = within(mine, x, b, score, errors, worst) & (ids != me)
+                    np.put_along_axis(may, near, False, 1)
+                    row, at = np.nonzero(may)
+                    for s in range(0, len(row), PAIRS):
+                        r, c = row[s : s + PAIRS], at[s : s + PAIRS]
+                        d[r, c] = np.sqrt(((x[c] - mine[r]) ** 2).sum(1))
+                    edge = np.partition(d, last, axis=1)[:, last]
+                    for r in range(len(mine)):
+                        c = np.flatnonzero((d[r] <= edge[r]) & np.isfinite(d[r]))
+                        c = c[np.argsort(d[r, c], kind="stable")[:top]]  # ids are sorted
+                        found.append((np.full(len(c), me[r, 0]), ids[c], d[r, c]))
+                        best[i + r] = np.sort(np.r_[best[i + r], d[r, c]])[:top]
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -156,9 +197,9 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, top: int = 10, id_col:
     """(query_id, rank, vec_id, score): for each row of queries its nearest rows of df other than those with its id.
 
     Nearness is Euclidean distance, the score, in double precision on the original vectors; ties go to smaller ids. The
-    codebooks are fitted on at most SAMPLE vectors, taken by hash; every vector is indexed. Each block of BLOCK entries
-    gives its ``short`` approximately nearest, all of which are ranked exactly, so recall falls only where a true
-    neighbour isn't among the ``short`` of its block.
+    codebooks are fitted on at most SAMPLE vectors, taken by hash; every vector is indexed. Of each block of BLOCK entries
+    the ``short`` approximately nearest are ranked exactly, and then every entry that by its approximate distance less
+    its quantisation error may be among the ``top``, so no neighbour is lost, however alike the vectors are.
 
     Vectors that are null or zero, hold null or non-finite components, or have another length than most of the sample
     take no part, nor do rows with null ids. Queries that repeat an id count once, with the smallest vector. A repeated
@@ -192,7 +233,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, top: int = 10, id_col:
     salts = max(parts, math.ceil(entries / (BLOCK * HELD)))
     count = max(1, math.ceil(n / QUERIES))
 
-    index = materialize(base.mapInArrow(_index(books, salts, dim), "salt int, ids binary, vectors binary, codes binary, norms binary"), "ann-index")
+    index = materialize(base.mapInArrow(_index(books, salts, dim), "salt int, ids binary, vectors binary, codes binary, norms binary, errors binary"), "ann-index")
     packed = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("qb").applyInArrow(_packed(dim), "qb int, qids binary, qvectors binary")
     left = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))

@@ -64,6 +64,21 @@ def test_neighbours(spark):
     assert all(abs(exact[q, v] - s) < 1e-12 for q, v, s in zip(got.query_id, got.vec_id, got.score, strict=True) if (q, v) in exact)
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.02])
+def test_neighbours_in_a_tight_cluster(spark, noise):
+    """A third of the vectors are near copies of one: no neighbour is lost among them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12288, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + noise * rng.normal(size=x[::3].shape).astype(np.float32)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = additive_quantiser.nearest_neighbours(df, df.where("vec_id % 100 = 0")).toPandas().sort_values(["query_id", "rank"])
+    want = brute(x.astype(np.float64), ids, [i for i in ids if i % 100 == 0], 10)
+    hits = {(q, v) for q, _, v, _ in want} & set(zip(got.query_id, got.vec_id, strict=True))
+    assert len(got) == len(want) == len(hits)
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0]), (100, [0.5, 0.5]), (200, None), (300, [0.0, 0.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "q", 1.0) for r in rows], "vec_id long, embedding array<double>, query_id string, score double")
