@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from helpers import awkward, normal, oracle
 
-from tessera.llm import additive_quantiser, queries, url_lists, warc
+from tessera.llm import additive_quantiser, pfair_mix, queries, url_lists, warc
 from tessera.llm.common import fresh_path
 
 
@@ -143,3 +143,25 @@ def test_pipeline(spark):
         odd = p.materialize(stage(spark, odd, sf), "test-stage")
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, awkward(spark).select(columns).limit(0), sf).count() == 0
+
+
+def test_pipeline_keeps_the_order_of_the_mixture(spark, tmp_path, monkeypatch):
+    """run()'s rows have the places that the mixing stage's weights give them."""
+    import corpus_pipeline as p
+
+    rows = [(k, f"text {k}", "en", "hot" if k < 150 else "cold", 8) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def order(mixing):
+        monkeypatch.setattr(p, "STAGES", [("mixing", mixing), ("BPE", p.tokens)])
+        got = sorted((r.mix_position, r.doc_id) for r in p.run(spark, str(tmp_path)).collect())
+        assert [k for k, _ in got] == list(range(200)) and sorted(i for _, i in got) == list(range(200))
+        return [i for _, i in got]
+
+    mix = lambda weights: lambda spark, docs, sf_dir: pfair_mix.mixed(docs, weights=weights, block=1).select(p.COLUMNS)
+    for share, weights in ((0.75, {"hot": 3, "cold": 1}), (0.5, {"hot": 1, "cold": 1})):
+        hot = np.cumsum([i < 150 for i in order(mix(weights))])[:99]
+        assert (abs(hot - share * np.arange(1, 100)) < 1).all()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert order(p.mixture) == [r.doc_id for r in pfair_mix.mix_sources(docs).orderBy("mix_position").collect()]
+    assert order(p.mixture) != order(lambda spark, docs, sf_dir: docs.orderBy("doc_id"))
