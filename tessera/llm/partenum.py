@@ -455,14 +455,20 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """df with one row of each near-duplicate class: the row with the class's smallest id.
+    """df with one row of each near-duplicate class: that with the smallest id, a null id coming last.
 
-    Rows without words or id are kept. Of several rows with that id, all stay.
+    Of several rows with that id one stays: that with the smallest hash of its text, or any of those with one text. Ids
+    name no rows: classes are those of texts, whether ids repeat or are null. Rows without words are kept.
     """
-    classes = ngram_jaccard_join(df, id_col, text_col, n, percent)
-    gone = classes.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0) & ~F.col("component_id").eqNullSafe(F.col(id_col)))
-    gone = gone.select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0).cast("long")).alias("hash"))
+    classes = ngram_jaccard_join(df.select(key.alias("__key"), F.col(text_col).alias("text")), "__key", "text", n, percent)
+    classes = classes.where("n_shingles > 0").groupBy("__key").agg(F.first("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    # Keys that go, and of those that stay the ones that several rows have: only these rows' texts travel.
+    odd = materialize(classes.select(F.col("__key.id").alias("__i"), F.col("__key.hash").alias("__h"), (F.col("low") != F.col("__key")).alias("__gone"), "rows").where("__gone or rows > 1"), "odd-keys")
+    on = (F.xxhash64(text_col) == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__i"))
+    once = df.join(odd, on, "left_anti")
+    twice = df.join(odd.where("not __gone"), on, "left_semi").withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"])
+    return once.union(twice.select(df.columns))
 
 
 def op2_partenum_join(spark, sf_dir: str) -> DataFrame:

@@ -97,6 +97,15 @@ def test_jaccard_join_awkward(spark):
     assert {1, 4, 5, 7} <= kept and not {2, 8} & kept
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Ids that repeat within a class or between classes, and null ids."""
+    texts = [" ".join(f"{x}{k}" for k in range(50)) for x in "abcd"]
+    rows = [(1, texts[0])] * 30 + [(None, texts[0])] * 3 + [(None, texts[1])] * 4 + [(5, texts[0]), (5, texts[2]), (9, texts[2]), (None, texts[3]), (2, ""), (2, None), (None, "")]
+    got = partenum.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80)
+    want = [(1, texts[0]), (None, texts[1]), (5, texts[2]), (None, texts[3]), (2, ""), (2, None), (None, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 6, 7, 13, 40, 200, 1000])
 def test_similar_sets_share_a_signature(size):
     rng = np.random.default_rng(size)
