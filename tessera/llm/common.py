@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from contextlib import suppress
 
@@ -16,11 +17,15 @@ SMALL_ROWS = 20_000
 
 _FALLBACK_DIR = "/tmp/tessera-checkpoints"
 _written: set[str] = set()
+_tables: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one if executors run in
+    this process, as in tests; on a cluster there is none that could do."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (where or _FALLBACK_DIR).rstrip("/")
 
 
@@ -41,6 +46,9 @@ def discard(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _discard_all() -> None:
     spark = SparkSession.getActiveSession()
+    for table in _tables if spark else ():
+        with suppress(Exception):
+            spark.sql(f"drop table if exists {table}")
     for path in list(_written) if spark else ():
         discard(spark, path)
 
@@ -59,9 +67,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
-    """df written like materialize() and bucketed by a column: grouping by it needs no shuffle of what is read."""
+    """df written like materialize() and bucketed by a column: grouping by it needs no shuffle of what is read.
+
+    Table and files go when the session ends."""
     spark = df.sparkSession
     table = f"tessera_{name}_{uuid.uuid4().hex}"
+    _tables.add(table)
     df.write.format("parquet").bucketBy(buckets, column).option("path", fresh_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
@@ -72,10 +83,18 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
 
 
 def row_key(*cols: Column) -> Column:
-    """64-bit key of a row's columns in which nulls and empty strings differ."""
+    """64-bit hash of a row's columns in which nulls and empty strings differ: for order and dealing out, never the
+    only key of a join."""
     return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
 
 
+def hash_share(df: DataFrame, h: Column, wanted: int, rows: int) -> DataFrame:
+    """df's rows whose 64-bit hash h is so small that about ``wanted`` of its ``rows`` are left, and nearly never fewer
+    than wanted (all, if there are fewer): a sample that doesn't depend on the layout, cut before it is sorted."""
+    share = (1.3 * wanted + 100) / max(rows, 1)
+    return df if share >= 1 else df.where(h <= F.lit(-(2**63) + int(2**64 * share)))
+
+
 def ascii_lower(c: Column) -> Column:
     """c with A-Z lower-cased and everything else unchanged."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
