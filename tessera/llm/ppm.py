@@ -5,6 +5,8 @@ Each language has a tree of byte contexts up to ORDER bytes deep with the counts
 followers / (followers + distinct followers)) of each longer known context that doesn't; order -1 is uniform over 256
 bytes. Statistics are frozen after training, so a text's code length is a sum over its bytes that doesn't depend on what
 was read before, and whole batches of texts are scored by table lookups. The language with the shortest code wins.
+
+Trees are whole, none of their contexts being pruned; every label of the training rows has one.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from . import bytetext as B
 
 #: Depth of contexts in bytes.
 ORDER = 4
-#: Bounds of the training sample: documents of a language, bytes of one of them, languages.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGS = 300, 20_000, 64
-#: Slots of the table of one order, as a power of two. A context that finds its slot taken is pruned from the trees.
-SLOT_BITS = 20
+#: Bounds of the training sample: documents of a language, bytes of one of them, and bytes in all (each language has an
+#: equal share of these, and at least FEWEST documents).
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL, FEWEST = 300, 20_000, 32 << 20, 8
+#: Languages whose trees share a table.
+GROUP = 16
 #: Bytes of text that are scored at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: A text is none of a language's if its code is longer than usual by more than so many standard deviations of the
+#: language's own texts and so many bits a byte, START bits for its first bytes apart.
+DEVIATIONS, EXCESS, START = 6.0, 1.5, 64.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,8 +42,8 @@ class Model:
     """Frozen context trees of all languages, flattened for lookups.
 
     langs: names in order; costs[k]: code lengths in bits of the known (k+1)-byte strings' last byte, by row and
-    language; keys[k], rows[k]: the table of their codes; escapes[k]: costs of leaving a k-byte context, by its row among
-    the k-byte strings.
+    language; keys[k], rows[k]: the hash table of their codes, with a row of -1 in free slots; escapes[k]: costs of
+    leaving a k-byte context, by its row among the k-byte strings.
     """
 
     langs: list[str]
@@ -48,8 +54,26 @@ class Model:
     escapes: list[np.ndarray] = field(default_factory=list)
 
 
-def _slots(codes: np.ndarray) -> np.ndarray:
-    return ((codes + np.uint64(1)) * _MULTIPLIER) >> np.uint64(64 - SLOT_BITS)
+def _slots(codes: np.ndarray, size: int) -> np.ndarray:
+    """First slots in a table whose size is a power of two."""
+    return (((codes + np.uint64(1)) * _MULTIPLIER) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _table(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash table of distinct codes, with two to four slots for each: keys, and their numbers. A code whose slot is
+    taken goes to the next one, and so on."""
+    size = 1 << max(4, (2 * len(codes)).bit_length())
+    keys, rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+    left, at = np.arange(len(codes)), _slots(codes, size)
+    while len(left):
+        free = rows[at] < 0
+        slot, first = np.unique(at[free], return_index=True)
+        placed = np.flatnonzero(free)[first]
+        keys[slot], rows[slot] = codes[left[placed]], left[placed]
+        rest = np.ones(len(left), bool)
+        rest[placed] = False
+        left, at = left[rest], (at[rest] + 1) % size
+    return keys, rows
 
 
 def _grams(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +86,7 @@ def _grams(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
-    """Context trees of the languages' texts. Needs one language or more."""
+    """Context trees of the languages' texts, unpruned. Needs one language or more."""
     model = Model(sorted(samples))
     counted = []  # for each order and language: known strings and their counts
     for k in range(order + 1):
@@ -80,17 +104,7 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
         often = np.zeros((len(known), langs), np.int64)
         for j, (codes, n) in enumerate(counted[k]):
             often[np.searchsorted(known, codes), j] = n
-        # The most frequent string keeps a slot; a pruned string's longer ones, before and after, are pruned with it.
-        order_ = np.lexsort((known, -often.sum(1)))
-        _, first = np.unique(_slots(known[order_]), return_index=True)
-        keep = np.sort(order_[first])
-        if k:
-            shorter = known[keep] & np.uint64((1 << (8 * k)) - 1)
-            keep = keep[(_find(model, k - 1, shorter) >= 0) & (_find(model, k - 1, known[keep] >> np.uint64(8)) >= 0)]
-        known, often = known[keep], often[keep]
-        keys = np.full(1 << SLOT_BITS, np.iinfo(np.uint64).max, np.uint64)
-        rows = np.full(1 << SLOT_BITS, -1, np.int32)
-        keys[_slots(known)], rows[_slots(known)] = known, np.arange(len(known), dtype=np.int32)
+        keys, rows = _table(known)
         # Followers of each context in each language.
         context = known >> np.uint64(8)
         heads, of = np.unique(context, return_inverse=True)
@@ -114,8 +128,17 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
 
 def _find(model: Model, k: int, codes: np.ndarray) -> np.ndarray:
     """Row of each (k+1)-byte string, or -1."""
-    slot = _slots(codes)
-    return np.where(model.keys[k][slot] == codes, model.rows[k][slot], -1)
+    keys, rows = model.keys[k], model.rows[k]
+    slot = _slots(codes, len(keys))
+    out = rows[slot]
+    other = np.flatnonzero((out >= 0) & (keys[slot] != codes))
+    slot = slot[other]
+    while len(other):
+        slot = (slot + 1) % len(keys)
+        out[other] = rows[slot]
+        more = (out[other] >= 0) & (keys[slot] != codes[other])
+        other, slot = other[more], slot[more]
+    return out
 
 
 def byte_costs(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -147,14 +170,15 @@ def code_lengths(model: Model, texts: pa.Array) -> np.ndarray:
     data, at = B.buffers(texts)
     out = np.zeros((len(at) - 1, len(model.langs)))
     # Work runs over slices of texts; a text longer than a slice is cut, with its last bytes before the cut as context.
+    step = max(len(model.costs), SLICE_BYTES * 4 // max(4, len(model.langs)))  # bounds the matrix of bytes and languages
     i = 0
     while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
         if j == i + 1:
             depth = len(model.costs) - 1
-            for s in range(int(at[i]), int(at[j]), SLICE_BYTES):
+            for s in range(int(at[i]), int(at[j]), step):
                 lead = min(depth, s - int(at[i]))
-                part = data[s - lead : min(s + SLICE_BYTES, int(at[j]))]
+                part = data[s - lead : min(s + step, int(at[j]))]
                 out[i] += byte_costs(model, part, np.array([0, len(part)]))[lead:].sum(0, dtype=np.float64)
         else:
             costs = byte_costs(model, data[at[i] : at[j]], at[i : j + 1] - at[i]).astype(np.float64)
@@ -164,66 +188,114 @@ def code_lengths(model: Model, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def training_sample(df: DataFrame, lang_col: str, text_col: str, key: Column, docs: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES, langs: int = SAMPLE_LANGS) -> dict[str, list[bytes]]:
-    """Up to ``docs`` whole texts of at most ``most`` bytes for each of the ``langs`` most frequent languages.
-
-    Texts are taken by the hash of ``key``, so the sample doesn't depend on the order or layout of rows. What reaches
-    the driver is at most about docs * most * langs bytes.
+@dataclass
+class Languages:
+    """Models of groups of languages, and what a byte usually costs in each: mean and deviation by language."""
+
+    models: list[Model]
+    usual: dict[str, tuple[float, float]]
+
+    @property
+    def langs(self) -> list[str]:
+        return [x for m in self.models for x in m.langs]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([code_lengths(m, texts) for m in self.models], axis=1)
+
+    def longest(self, lang: str, size: np.ndarray) -> np.ndarray:
+        """The longest code, in bits, that a text of so many bytes may have and be the language's."""
+        mean, deviation = self.usual[lang]
+        return START + size * (mean + max(EXCESS, DEVIATIONS * deviation))
+
+
+def learn(samples: dict[str, list[bytes]], order: int = ORDER) -> Languages:
+    """Models of all languages. What a byte usually costs is measured on every third text by a model of the others."""
+    names = sorted(samples)
+    parts = [names[k : k + GROUP] for k in range(0, len(names), GROUP)]
+    usual = {}
+    for part in parts:
+        shown = {x: [t for k, t in enumerate(samples[x]) if k % 3 or len(samples[x]) < 3] for x in part}
+        model = fit(shown, order)
+        for j, x in enumerate(part):
+            texts = [t for k, t in enumerate(samples[x]) if not k % 3] or samples[x]
+            # What a window cuts through is replaced, as in no text that is scored.
+            bits = code_lengths(model, pa.array([t.decode("utf-8", "replace") for t in texts]))[:, j]
+            each = np.maximum(bits - START, 0) / np.array([max(1, len(t)) for t in texts])
+            usual[x] = float(np.average(each, weights=[len(t) + 1 for t in texts])), float(each.std())
+    return Languages([fit({x: samples[x] for x in part}, order) for part in parts], usual)
+
+
+def training_sample(df: DataFrame, lang_col: str, text_col: str, key: Column, docs: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL) -> dict[str, list[bytes]]:
+    """Texts of every language: ``docs`` at most, or fewer (FEWEST at least) where ``total`` bytes don't hold as many of
+    each; of a text of more than ``most`` bytes a window of that size, the place following from its hash.
+
+    Texts are taken by the hash of ``key``, so the sample doesn't depend on the order or layout of rows. Labels are
+    counted first, so what reaches the driver is about ``total`` bytes, or FEWEST texts of each language.
     """
-    good = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key).alias("h"))
-    good = good.where("lang is not null and text is not null").where(F.octet_length("text").between(1, most))
-    sizes = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    good = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key).alias("h")).where("lang is not null and text <> ''")
+    sizes = good.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.avg(F.least(F.octet_length("text"), F.lit(most))).alias("bytes")).collect()
+    docs_of = {r["lang"]: max(FEWEST, min(docs, int(total / len(sizes) / r["bytes"]))) for r in sizes}
     span = 2**63
-    # Hashes are uniform: this share of a language's texts holds more than docs of them nearly always.
-    top = [(r["lang"], -span + min(2 * span - 1, int(2 * span * min(1.0, (1.3 * docs + 50) / r["count"])))) for r in sizes]
+    # Hashes are uniform: this share of a language's texts holds more than are wanted nearly always.
+    top = [(r["lang"], -span + min(2 * span - 1, int(2 * span * min(1.0, (1.3 * docs_of[r["lang"]] + 50) / r["count"])))) for r in sizes]
     if not top:
         return {}
     limits = df.sparkSession.createDataFrame(top, "lang string, below long")
-    rows = good.join(F.broadcast(limits), "lang").where("h <= below").select("lang", "h", "text").collect()
+    room = F.greatest(F.length("text") - most, F.lit(0)) + 1
+    window = F.substring("text", F.when(F.octet_length("text") > most, F.pmod("h", room) + 1).otherwise(1).cast("int"), F.lit(most))
+    rows = good.join(F.broadcast(limits), "lang").where("h <= below").select("lang", "h", window.alias("text")).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if len(out.setdefault(r["lang"], [])) < docs:
-            out[r["lang"]].append(r["text"].encode())
+        if len(out.setdefault(r["lang"], [])) < docs_of[r["lang"]]:
+            out[r["lang"]].append(r["text"].encode()[:most])
     return out
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score (the posterior of the predicted language under equal priors, 0 to 1), and bits_per_byte.
+_ADDED = ("lang_pred", "score", "bits_per_byte", "is_usual")
+
+
+def predict(df: DataFrame, languages: Languages, text_col: str = "text") -> DataFrame:
+    """df with lang_pred, score (the posterior of the predicted language under equal priors, 0 to 1), bits_per_byte, and
+    is_usual: whether the text's code isn't much longer than those of the language's own texts.
 
-    lang_pred is ``und`` with score 0 where the text is null or has no letter, and ties go to the first language by
-    name. Whole texts are scored. Columns of df with these names are replaced; others stay. An empty df gives an empty
-    result; every row is scored on its own.
+    lang_pred is ``und`` with score 0 and is_usual false where the text is null or has no letter, and ties go to the
+    first language by name. Whole texts are scored. Columns of df with these names are replaced; others stay. An empty
+    df gives an empty result; every row is scored on its own.
     """
-    base = df.drop("lang_pred", "score", "bits_per_byte")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample and the slots
+    base = df.drop(*_ADDED)
+    shared = df.sparkSession.sparkContext.broadcast(languages)  # its size is bounded by the sample
     names = base.columns
-    schema = base.schema.add("__letter", "boolean").add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = base.schema.add("__letter", "boolean").add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double").add("is_usual", "boolean")
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        langs = m.langs
+        order = np.argsort(np.array(langs, object), kind="stable")
         for batch in batches:
             texts = batch.column(where)
-            bits = code_lengths(m, texts)
-            best = bits.argmin(1)
+            bits = m.lengths(texts)
+            best = order[bits[:, order].argmin(1)]
             low = bits[np.arange(len(best)), best]
             score = 1.0 / np.exp2(np.maximum(low[:, None] - bits, -1000.0)).sum(1)
             size = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1)
             letter = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            pred = [m.langs[k] if x else "und" for k, x in zip(best, letter, strict=True)]
-            new = [batch.column(k) for k in range(len(names) + 1)] + [pa.array(pred, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size)]
-            yield pa.RecordBatch.from_arrays(new, [*names, "__letter", "lang_pred", "score", "bits_per_byte"])
+            usual = low <= np.array([m.longest(langs[k], n) for k, n in zip(best, size, strict=True)])
+            pred = [langs[k] if x else "und" for k, x in zip(best, letter, strict=True)]
+            new = [batch.column(k) for k in range(len(names) + 1)] + [pa.array(pred, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size), pa.array(usual & letter)]
+            yield pa.RecordBatch.from_arrays(new, [*names, "__letter", *_ADDED])
+        B.give_back()
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return base.withColumn("__letter", letter).mapInArrow(run, schema).drop("__letter")
 
 
 def identify_languages(df: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> DataFrame:
-    """predict() with a model fitted on training_sample(train). Without any labelled text every row is ``und``."""
+    """predict() with models learnt from training_sample(train). Without any labelled text every row is ``und``."""
     samples = training_sample(train, lang_col, text_col, F.col(key_col))
     if not samples:
-        return df.drop("lang_pred", "score", "bits_per_byte").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
-    return predict(df, fit(samples), text_col)
+        return df.drop(*_ADDED).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0), "is_usual": F.lit(False)})
+    return predict(df, learn(samples), text_col)
 
 
 def _held_out(id_col: str = "doc_id") -> Column:
