@@ -10,6 +10,7 @@ What is shuffled is thus the distinct words of each chunk and compressed places,
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import give_back
 from .common import bucketed
 
 #: Bytes of text that share one dictionary, at most (one text may be longer).
@@ -42,6 +44,7 @@ WORD = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks have all cores; threads of their own hold memory
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -119,6 +122,8 @@ def _chunks(path: str, buckets: int, schema: pa.Schema):
                     yield from finish()
                     number, size, book, keys, texts = number + 1, 0, {}, [], []
         yield from finish()
+        book, texts = {}, []
+        give_back()
 
     return run
 
@@ -133,8 +138,8 @@ def _encoded(path: str):
             for w in rows[-1]:
                 known.setdefault(w, len(known))
         words, flat, size = list(known), array("I"), array("I")
-        for k in range(0, len(words), 4096):  # encodings are large objects
-            for e in _tokenizer(path).encode_batch(words[k : k + 4096], add_special_tokens=False):
+        for k in range(0, len(words), 1024):  # encodings are large objects
+            for e in _tokenizer(path).encode_batch(words[k : k + 1024], add_special_tokens=False):
                 flat.extend(e.ids)
                 size.append(len(e.ids))
         ids, size = np.frombuffer(flat, np.uint32), np.frombuffer(size, np.uint32).astype(np.int64)
@@ -142,6 +147,8 @@ def _encoded(path: str):
         for ws in rows:
             at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
             packed += [_pack(size[at]), _pack(ids[_spread(start[at], size[at])])]
+        del words, known, rows, flat, ids
+        give_back()
         return pa.table({"chunk": table.column("chunk"), "codes": table.column("codes"), "counts": pa.array(packed[::2], pa.binary()), "ids": pa.array(packed[1::2], pa.binary())})
 
     return run
