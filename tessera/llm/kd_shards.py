@@ -1,8 +1,9 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension until leaves fit.
 
 The driver holds the tree alone. A cut is found by histograms: one aggregation over all rows gives, for every open node
-at once, the bytes in the bins of the bracket that still holds its cut, and the bracket shrinks to the bin in which the
-cut lies. Rows are ordered by the dimension, then by a hash of the text and then by id, so ties are cut as finely as
+at once, the bytes in the bins of the bracket that still holds its cut, and the bracket, at first from the smallest to
+the largest value of the node, shrinks to the bin in which the cut lies. Rows find their nodes by the cuts so far, in
+joins with the tables of cuts, and are written anew only every REWRITE levels. Rows are ordered by the dimension, then by a hash of the text and then by id, so ties are cut as finely as
 needed: a cut stays at an edge of a group of equal texts if one is near, and goes through the group, by id, only where
 the group is large against a shard.
 """
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, maybe_broadcast, ranked, row_key
 
 #: Bins of one node's histogram at most, and of all open nodes' together, which the driver receives.
-BINS, ALL_BINS = 256, 100_000
+BINS, ALL_BINS = 4096, 100_000
+#: Levels of the tree after which rows are written with their nodes.
+REWRITE = 6
 #: Errors of a cut that are put up with, as shares of a leaf's bytes: anywhere, and to keep a group of copies whole.
 TOLERANCE, COPIES = 0.001, 0.02
 _LO, _HI = -(2**63), 2**63 - 1
@@ -109,26 +112,32 @@ def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim
         F.col(id_col).alias("__id"), (F.octet_length(text) + 8).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), F.lit(0).alias("__node"),
         F.xxhash64(text).alias("__k1"), _ordinal(df, id_col).alias("__k2"), *[F.coalesce(c.cast("long"), F.lit(_LO)).alias(n) for n, c in zip(names, dims.values(), strict=True)],
     )
-    rows = materialize(rows, "kd-rows")
+    rows = stored = materialize(rows, "kd-rows")
     measures = [F.sum("__size").alias("total"), *[f(n).alias(f"{s}{n}") for n in names for s, f in (("lo", F.min), ("hi", F.max))]]
     whole = rows.agg(*measures).first()
     total = whole["total"] or 0
     nodes = [_Node(0, shards or max(1, math.ceil(total / target_bytes)))]
-    leaf = total / nodes[0].leaves
+    leaf, level = total / nodes[0].leaves, 0
     while live := [n for n in nodes if n.leaves > 1 and total]:
         by_first = {n.first: n for n in live}
         for r in rows.groupBy("__node").agg(*measures).collect():
             if n := by_first.get(r["__node"]):
                 spread = [(r[f"hi{d}"] - r[f"lo{d}"]) / max(1, whole[f"hi{d}"] - whole[f"lo{d}"]) for d in names]
                 n.total, n.dim = r["total"], spread.index(max(spread))
+                n.lo, n.hi = r[f"lo{names[n.dim]}"], r[f"hi{names[n.dim]}"]
         _find_cuts(rows, names, live, leaf)
         cuts = spark.createDataFrame([(n.first, n.dim, *(*n.cut, None, None)[:3], n.first + n.leaves // 2) for n in live], "__n int, dim int, c0 long, c1 long, c2 long, right int")
         there = rows.join(maybe_broadcast(cuts, len(live)), F.col("__node") == F.col("__n"), "left").withColumn("__k0", F.element_at(F.array(*names), F.col("dim") + 1))
         left = F.expr("__k0 < c0 or coalesce(__k0 = c0 and __k1 < c1, false) or coalesce(__k0 = c0 and __k1 = c1 and __k2 < c2, false)")
-        old, rows = rows, materialize(there.withColumn("__node", F.when(F.col("right").isNull() | left, F.col("__node")).otherwise(F.col("right"))).select(rows.columns), "kd-rows")
-        discard(spark, old.stored_at)
+        rows = there.withColumn("__node", F.when(F.col("right").isNull() | left, F.col("__node")).otherwise(F.col("right"))).select(rows.columns)
+        level += 1
+        if level % REWRITE == 0:
+            stored, old = materialize(rows, "kd-rows"), stored
+            rows = stored
+            discard(spark, old.stored_at)
         nodes = [n for n in nodes if n.leaves <= 1] + [x for n in live for x in (_Node(n.first, n.leaves // 2), _Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2))]
     out = ranked(rows.select("__id", "__size", "__crc", "__k1", "__k2", F.col("__node").alias("__shard")), ["__shard"], ["__k1", "__k2"], "__slot", "kd-slots")
+    discard(spark, stored.stored_at)  # ranked() has written its rows
     return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
 
