@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hash_share, materialize
 
 #: Bound of the training sample, in vectors; codebooks; codewords of each; width of the beam; rounds of k-means.
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 8192, 8, 256, 4, 6
@@ -24,8 +24,8 @@ SAMPLE, BOOKS, WORDS, BEAM, ROUNDS = 8192, 8, 256, 4, 6
 BLOCK, SHORT, QUERIES = 4096, 256, 1024
 #: Pairs of a query and an entry whose exact distances are reckoned at once.
 PAIRS = 1 << 16
-#: Index blocks that one task holds at once.
-HELD = 32
+#: Index blocks and query blocks that one task holds at once.
+HELD, HELD_QUERIES = 32, 64
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -119,6 +119,18 @@ def within(q: np.ndarray, x: np.ndarray, books: np.ndarray, score: np.ndarray, e
     return may
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision over the last axis. Components whose squares would overflow are scaled
+    by a power of two first, which rounds nothing."""
+    gap = x - y
+    top = np.abs(gap).max(-1, initial=0.0)
+    odd = np.isfinite(top) & ((top > 1e150) | (top < 1e-140))
+    if not odd.any():
+        return np.sqrt((gap**2).sum(-1))
+    power = np.where(odd, np.frexp(top)[1], 0)
+    return np.ldexp(np.sqrt((np.ldexp(gap, -power[..., None]) ** 2).sum(-1)), power)
+
+
 def _matrix(blob: bytes, kind, width: int) -> np.ndarray:
     return np.frombuffer(blob, kind).reshape(-1, width)
 
@@ -161,7 +173,7 @@ def _search(books, dim: int, kind: str, top: int, short: int):
                     mine, me = q[i : i + 128], qid[i : i + 128, None]
                     near, score = shortlist(mine, b, codes, norms, ids, short + 1)
                     d = np.full(score.shape, np.inf)
-                    np.put_along_axis(d, near, np.sqrt(((x[near] - mine[:, None]) ** 2).sum(2)), 1)
+                    np.put_along_axis(d, near, distances(x[near], mine[:, None]), 1)
                     d[ids == me] = np.inf
                     last = min(top, len(ids)) - 1
                     worst = np.partition(d, last, axis=1)[:, last] if top <= len(ids) else np.full(len(mine), np.inf)
@@ -171,7 +183,7 @@ def _search(books, dim: int, kind: str, top: int, short: int):
                     row, at = np.nonzero(may)
                     for s in range(0, len(row), PAIRS):
                         r, c = row[s : s + PAIRS], at[s : s + PAIRS]
-                        d[r, c] = np.sqrt(((x[c] - mine[r]) ** 2).sum(1))
+                        d[r, c] = distances(x[c], mine[r])
                     edge = np.partition(d, last, axis=1)[:, last]
                     for r in range(len(mine)):
                         c = np.flatnonzero((d[r] <= edge[r]) & np.isfinite(d[r]))
@@ -205,9 +217,10 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, top: int = 10, id_col:
     take no part, nor do rows with null ids. Queries that repeat an id count once, with the smallest vector. A repeated
     row of df counts as often as it occurs. Empty tables give an empty result. Other columns are ignored, whatever their names.
 
-    Index blocks and query blocks meet in groups by (query block, salt): each query block goes to every salt, each
-    index block to one salt for every query block. A group's rows are bounded by the number of salts, which grows with
-    df; what is broadcast is the codebooks, whose size is fixed.
+    Index blocks and query blocks meet in groups of HELD and HELD_QUERIES of them at most on average: each query block
+    goes to every salt of index blocks, and the index is copied once for each HELD_QUERIES * QUERIES queries, not for
+    each block of them. What is broadcast is the codebooks, whose size is fixed. The driver receives about SAMPLE vectors,
+    whatever the number of tasks.
     """
     spark = df.sparkSession
     finite = lambda c: F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
@@ -218,12 +231,15 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, top: int = 10, id_col:
         return d.where(finite("v") & F.exists("v", lambda x: x != 0))
 
     base = good(df)
-    rows = [r["v"] for r in base.withColumn("h", F.xxhash64("id", "v")).orderBy("h", "id").limit(SAMPLE).collect()]
+    hashed = base.withColumn("h", F.xxhash64("id", "v"))
+    rows = [r["v"] for r in hash_share(hashed, F.col("h"), SAMPLE, base.count()).orderBy("h", "id").limit(SAMPLE).collect()]
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(r) for r in rows]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    books = spark.sparkContext.broadcast(fit(np.array([r for r in rows if len(r) == dim], np.float64 if kind == "double" else np.float32)))
+    sample = np.array([r for r in rows if len(r) == dim], np.float64 if kind == "double" else np.float32)
+    fair = np.abs(sample).max(1) < 1e15  # codebooks are in single precision; vectors beyond it are found by their error
+    books = spark.sparkContext.broadcast(fit(sample[fair] if fair.any() else sample / np.abs(sample).max()))
     numpy_kind = {"float": "f4", "double": "f8"}.get(kind, "f8")
     fixed = lambda d: d.where(F.size("v") == dim).select("id", F.col("v").cast(f"array<{'float' if numpy_kind == 'f4' else 'double'}>").alias("v"))
     base = fixed(base)
@@ -232,12 +248,13 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, top: int = 10, id_col:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     salts = max(parts, math.ceil(entries / (BLOCK * HELD)))
     count = max(1, math.ceil(n / QUERIES))
+    wide = math.ceil(count / HELD_QUERIES)
 
     index = materialize(base.mapInArrow(_index(books, salts, dim), "salt int, ids binary, vectors binary, codes binary, norms binary, errors binary"), "ann-index")
     packed = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("qb").applyInArrow(_packed(dim), "qb int, qids binary, qvectors binary")
-    left = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    got = left.groupBy("qb", "salt").cogroup(right.groupBy("qb", "salt")).applyInArrow(_search(books, dim, numpy_kind, top, short), "query_id long, vec_id long, score double")
+    left = packed.withColumn("qg", (F.col("qb") % wide).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = index.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    got = left.groupBy("qg", "salt").cogroup(right.groupBy("qg", "salt")).applyInArrow(_search(books, dim, numpy_kind, top, short), "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return got.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
