@@ -8,12 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
-
 #: Width of a time bucket in days: captures and intervals meet within a host and bucket.
 BUCKET_DAYS = 90
-#: Most labels of a host whose parent domains are looked up (DNS allows 127).
-MAX_LABELS = 127
 
 
 def host_of(url: Column) -> Column:
@@ -22,12 +18,13 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
-def domains(host: Column) -> Column:
-    """host and its parent domains of two labels or more (host alone if it has one label)."""
+def domains(host: Column, most: Column) -> Column:
+    """host and its parent domains of two to ``most`` labels."""
     parts = F.split(host, r"\.")
     n = F.size(parts)
-    upto = F.greatest(F.least(n - 1, F.lit(MAX_LABELS)), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), upto), lambda i: F.array_join(F.slice(parts, i, n), "."))
+    first = F.greatest(n - most + 1, F.lit(2))
+    parents = F.transform(F.sequence(first, n - 1), lambda i: F.array_join(F.slice(parts, i, n), "."))
+    return F.concat(F.array(host), F.when(first < n, parents).otherwise(F.array().cast("array<string>")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,26 +46,26 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, url_col: str = "
     (since <= day < until). Captures without a host or day match nothing.
 
     Both sides meet by equality on domain and time bucket, so neither a host with very many captures nor a list entry
-    that changes often makes more than the rows of one bucket; Spark splits buckets that are still skewed. Matches are
-    counted by capture key, with partial aggregation, and joined back. Equal captures (same URL and day) are looked up
-    once. Extra columns of captures stay; ``host``, ``lists`` and ``n_active`` replace columns of those names.
+    that changes often makes more than the rows of one bucket; Spark splits buckets that are still skewed. Of a host's
+    parents those are looked up that have no more labels than some entry's domain. Matches are counted by host and day,
+    with partial aggregation, and joined back by both. Captures of one host and day are looked up once. Extra columns of captures stay; ``host``, ``lists`` and ``n_active`` replace columns of those names.
     """
     bucket = lambda day: F.floor(F.unix_date(day) / bucket_days)
     day = F.col(day_col).cast("date")
-    keyed = captures.withColumn("__host", host_of(F.col(url_col).cast("string"))).withColumn("__row", row_key(F.col("__host"), day))
-    asked = keyed.select("__row", "__host", day.alias("__day")).where("__host is not null and __day is not null").distinct()
-    asked = asked.select("__row", "__day", bucket(F.col("__day")).alias("__bucket"), F.explode(domains(F.col("__host"))).alias("__domain"))
-    days = asked.agg(F.min("__day"), F.max("__day")).first()  # intervals are cut into the buckets of these days alone
-    lo, hi = (F.lit(x).cast("date") for x in days)
+    keyed = captures.withColumn("__host", host_of(F.col(url_col).cast("string"))).withColumn("__day", day)
+    asked = keyed.select("__host", "__day").where("__host is not null and __day is not null").distinct()
+    lo, hi = (F.lit(x).cast("date") for x in asked.agg(F.min("__day"), F.max("__day")).first())  # intervals are cut into the buckets of these days alone
     spans = intervals(entries).where((F.col("since") <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
+    most = entries.agg(F.max(F.size(F.split("domain", r"\."))).alias("n")).first()["n"] or 1
+    asked = asked.select("__host", "__day", bucket(F.col("__day")).alias("__bucket"), F.explode(domains(F.col("__host"), F.lit(most))).alias("__domain"))
     first, last = F.greatest("since", lo), F.least(F.coalesce(F.date_sub("until", 1), hi), hi)
     spans = spans.select("list", "domain", "since", "until", F.explode(F.sequence(bucket(first), bucket(last))).alias("bucket"))
     on = (F.col("__domain") == F.col("domain")) & (F.col("__bucket") == F.col("bucket")) & (F.col("__day") >= F.col("since"))
     on &= F.col("until").isNull() | (F.col("__day") < F.col("until"))
-    found = asked.join(spans, on).groupBy("__row").agg(F.array_sort(F.collect_set("list")).alias("__lists"), F.count(F.lit(1)).alias("__n"))
-    out = keyed.drop("host", "lists", "n_active").join(found, "__row", "left")
+    found = asked.join(spans, on).groupBy("__host", "__day").agg(F.array_sort(F.collect_set("list")).alias("__lists"), F.count(F.lit(1)).alias("__n"))
+    out = keyed.drop("host", "lists", "n_active").join(found, ["__host", "__day"], "left")
     out = out.withColumns({"host": F.col("__host"), "lists": F.coalesce("__lists", F.array().cast("array<string>")), "n_active": F.coalesce("__n", F.lit(0).cast("long"))})
-    return out.drop("__host", "__row", "__lists", "__n")
+    return out.drop("__host", "__day", "__lists", "__n")
 
 
 #: First day of the fetches and of the list entries that the query derives for the pages, which have no dates.
