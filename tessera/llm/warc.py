@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_path, materialize, maybe_broadcast
+from .common import discard, fresh_path, hash_share, materialize, maybe_broadcast
 
 #: Magic number of the skippable frame with the dictionary, as public WARC-Zstandard archives have it.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -33,9 +33,14 @@ _ROWS = "row_id string, url string, record_type string, payload_bytes long, payl
 
 
 def build_dictionary(df: DataFrame, payload_col: str) -> bytes:
-    """A dictionary from the payloads whose hashes are smallest; empty if they are too few or too alike to build one."""
+    """A dictionary from the payloads whose hashes are smallest; empty if they are too few or too alike to build one.
+
+    Rows are counted first, so that each task sorts, and the driver receives, about SAMPLE payloads in all, whatever the
+    number of tasks. Copies of a payload count as one row."""
     body = F.col(payload_col).cast("binary")
-    rows = df.select(body.alias("p"), F.xxhash64(body).alias("h")).where(F.octet_length("p").between(1, SAMPLE_BYTES)).orderBy("h", "p").limit(SAMPLE).collect()
+    rows = df.select(body.alias("p"), F.xxhash64(body).alias("h")).where(F.octet_length("p").between(1, SAMPLE_BYTES))
+    n = rows.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
+    rows = hash_share(rows, F.col("h"), SAMPLE, n).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["p"]) for r in rows]).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
@@ -130,7 +135,9 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", payload_
         F.when(~again, F.col("payload")).alias("payload"), F.when(again, F.col("__first").cast("string")).alias("refers_to"),
     )
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    folder = system.makeQualified(where).toString()  # a path without a scheme lies on the default file system
     return materialize(rows.mapInArrow(_writer(folder, build_dictionary(df, payload_col), date), _MANIFEST), "archives")
 
 
