@@ -40,6 +40,18 @@ def test_lists_as_of(spark):
     assert url_lists.temporal_list_join(caps, entries.limit(0)).where("n_active > 0").count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    """Every parent that an entry names is looked up, however many labels the host has."""
+    d = date(2024, 1, 1)
+    deep = ".".join(f"l{k}" for k in range(400))
+    caps = spark.createDataFrame([(f"http://{deep}/", d), (f"http://x.{deep}/", d), ("http://l399/", d)], "url string, fetched date")
+    entries = [("far", "l398.l399", d, "add"), ("host", deep, d, "add"), ("mid", deep.split(".", 200)[-1], d, "add")]
+    got = [r.lists for r in url_lists.temporal_list_join(caps, spark.createDataFrame(entries, "list string, domain string, day date, action string")).orderBy("url").collect()]
+    assert got == [["far", "host", "mid"], [], ["far", "host", "mid"]]
+    short = spark.createDataFrame(entries[:1], "list string, domain string, day date, action string")
+    assert [r.lists for r in url_lists.temporal_list_join(caps, short).orderBy("url").collect()] == [["far"], [], ["far"]]
+
+
 def brute(x, ids, queries, top):
     out = []
     for q in sorted(queries):
@@ -79,6 +91,45 @@ def test_neighbours_in_a_tight_cluster(spark, noise):
     assert len(got) == len(want) == len(hits)
 
 
+def test_recall_of_the_query(spark):
+    """The query itself, on all embeddings: blocks are full there."""
+    import pandas as pd
+
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").sort_values("vec_id")
+    x, ids = np.array(table.embedding.tolist(), np.float64), table.vec_id.to_numpy()
+    got = additive_quantiser.op6_additive_quantiser(spark, "/root/testdata/sf0.1").toPandas()
+    want = brute(x, ids, [i for i in ids if i % 100 == 0], 10)
+    hits = {(q, v) for q, _, v, _ in want} & set(zip(got.query_id, got.vec_id, strict=True))
+    assert len(got) == len(want) and len(hits) >= 0.9 * len(want)
+
+
+def test_the_index_alone_finds_most(spark, monkeypatch):
+    """What lookup tables put first, without the exact search of the rest."""
+    monkeypatch.setattr(additive_quantiser, "within", lambda q, x, books, score, errors, worst: np.zeros(score.shape, bool))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 32)).astype(np.float32) + 4 * rng.normal(size=(40, 32)).astype(np.float32)[rng.integers(0, 40, 8000)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = additive_quantiser.nearest_neighbours(df, df.where("vec_id % 100 = 0")).toPandas()
+    want = {(q, v) for q, _, v, _ in brute(x.astype(np.float64), np.arange(8000), range(0, 8000, 100), 10)}
+    assert len(want & set(zip(got.query_id, got.vec_id, strict=True))) >= 0.9 * len(want)
+
+
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    x[100:200] *= 1e200
+    x[200:] *= 1e-200
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, additive_quantiser.nearest_neighbours(df, df.where("vec_id % 20 = 0"), top=5).collect()))
+    want = []
+    for q in range(0, 300, 20):
+        gap = np.abs(x - x[q])
+        d = np.array([np.ldexp(np.sqrt((np.ldexp(g, -int(np.frexp(g.max())[1])) ** 2).sum()), int(np.frexp(g.max())[1])) for g in gap])
+        d[q] = np.inf
+        want += [(q, r + 1, int(k), d[k]) for r, k in enumerate(np.lexsort((np.arange(300), d))[:5])]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-14, atol=0)
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0]), (100, [0.5, 0.5]), (200, None), (300, [0.0, 0.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "q", 1.0) for r in rows], "vec_id long, embedding array<double>, query_id string, score double")
@@ -145,6 +196,74 @@ def test_pipeline(spark):
         assert stage(spark, awkward(spark).select(columns).limit(0), sf).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() on small texts with planted noise, shared lines and near copies, against plain Python stage by stage."""
+    import hashlib
+    import random
+    import re
+    from collections import Counter
+
+    from test_documents_ops import brute_classes
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from tessera.llm import bpe, ppm
+
+    rng = random.Random(9)
+    stock = {"en": [f"wo{a}{b}d" for a in "aeiou" for b in "lrnst"], "fr": [f"mé{a}{b}e" for a in "aeiou" for b in "lrnst"]}
+    body = lambda lang, n: " ".join(rng.choice(stock[lang]) + rng.choice(["", "s", "er"]) for _ in range(n))
+    rows = []
+    for k in range(240):
+        lang = "fr" if k % 4 == 0 else "en"
+        lines = [body(lang, 40), body(lang, 60)] + (["Follow us  on the NETWORK today"] if k % 3 else [])
+        rows.append([k, "\n".join(lines), None if k % 50 == 7 else lang, f"h{k % 3}"])
+    for k in range(240, 270):  # near copies, with one word changed
+        words = rows[k - 240][1].split(" ")
+        words[5] = "changed"
+        rows.append([k, " ".join(words), rows[k - 240][2], "h0"])
+    rows += [[300 + k, " ".join("".join(rng.choice("qxzjkv0189") for _ in range(7)) for _ in range(80)), None, "h1"] for k in range(5)]
+    rows += [[310, "short text", "en", "h2"], [311, None, "en", "h2"], [312, "12 34 " * 60, None, "h2"]]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = p.run(spark, str(tmp_path)).collect()
+
+    from pyspark.sql import functions as F
+
+    model = ppm.learn(ppm.training_sample(docs, "lang", "text", F.col("doc_id")))
+    kept = []
+    for i, t, lang, s in rows:
+        if t and any(c.isalpha() for c in t):
+            bits = model.lengths(__import__("pyarrow").array([t]))[0]
+            if bits.min() <= model.longest(model.langs[int(bits.argmin())], len(t.encode())):
+                kept.append((i, t, s))
+    assert not {r[0] for r in kept} & {300, 301, 302, 303, 304, 311, 312} and {r[0] for r in kept} >= set(range(270))
+    key = lambda line: " ".join(w.lower() for w in line.split())
+    often = Counter((s, x) for _, t, s in kept for x in {key(line) for line in t.split("\n")})
+    hosts = Counter(s for *_, s in kept)
+    gone = {(s, x) for (s, x), n in often.items() if n > 20 and 100 * n > 2 * hosts[s] and x}
+    clean = []
+    for i, t, s in kept:
+        lines = t.split("\n")
+        left = [x for x in lines if (s, key(x)) not in gone]
+        words, windows = t.split(), Counter(zip(t.split(), t.split()[1:], t.split()[2:], strict=False))
+        covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        if len(words) >= 50 and len(covered) <= 0.5 * len(words) and sum(len(x.split()) for x in left) >= 0.3 * len(words):
+            clean.append((i, "\n".join(left), s))
+    assert gone and len(clean) < len(kept)
+    unique = [(i, t, s) for (i, t, s), low in zip(clean, [c for _, _, c in sorted(brute_classes([(i, t) for i, t, _ in clean], 5, 80), key=lambda r: r[0])], strict=True) if i == low]
+    assert {r[0] for r in unique} == set(range(240)) - {r[0] for r in rows[:240] if not any(c[0] == r[0] for c in clean)}
+    t = Tokenizer.from_file(bpe.default_tokenizer())
+    want = {}
+    for i, text, _ in unique:
+        ids = t.encode(text, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+    texts = spark.createDataFrame([(i, x, s) for i, x, s in unique], "doc_id long, text string, source string")
+    order = [r.doc_id for r in pfair_mix.mix_sources(texts).orderBy("mix_position").collect()]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_position)] == order
+    assert re.fullmatch(r"[0-9a-f]{64}", got[0].ids_sha256)
+
+
 def test_pipeline_keeps_the_order_of_the_mixture(spark, tmp_path, monkeypatch):
     """run()'s rows have the places that the mixing stage's weights give them."""
     import corpus_pipeline as p
