@@ -17,16 +17,18 @@ from tessera.llm.ppm import identify_languages
 from tessera.llm.quality_rules import apply_quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A language is doubtful if its posterior is lower.
-LEAST_SCORE = 0.5
 #: A document's place in the mixture, from 0, in run()'s result.
 POSITION = "mix_position"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter or with a doubtful language go."""
-    found = identify_languages(docs, docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    """Documents in a language that is known from the labelled ones; a missing label becomes the predicted language.
+
+    Those without a letter go, and those whose code is much longer, for their size, than the predicted language's own
+    texts have: noise, markup, and languages that no label names. The models are learnt from a bounded sample by hash.
+    """
+    found = identify_languages(docs, docs).where("lang_pred <> 'und' and is_usual")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
