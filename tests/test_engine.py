@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 
 from tessera.api import Engine, main, rows
-from tessera.decisions import calibration, packs, trust
+from tessera.decisions import calibration, context, packs, trust
 from tessera.decisions.ledger import Ledger
 from tessera.errors import Clarify, Refusal
 from tessera.functions.periods import period_range
@@ -203,6 +203,136 @@ def test_engine(spark, shop):
     assert free.call("metric_query", term="x")["reason_code"] == "kernel_missing"
 
 
+def test_rules_of_every_class(shop):
+    """Each class by its own words, and sentences that only look like one."""
+    vocabulary = rules.Vocabulary(shop.data)
+    kind = lambda text: (lambda r: (r["rule_type"], r["compiled_policy"]))(rules.classify(text, vocabulary))
+    assert kind("Don't count product SKU-9.")[1]["value"] == "SKU-9" and kind("drop customer C9")[1]["targets"][0]["field_id"] == "shop.orders.customer_id"
+    assert kind("ignore the noise")[0] == "advisory" and kind("Exclude widget W55") == ("row_exclusion", None)
+    assert kind("Ratings may not, in any report, override amounts")[0] == "precedence" and kind("Not now. Overrides are rare")[0] == "advisory"
+    assert kind("Stock of at least 3 is under watch, then sold")[1] == {"subject_metric": None, "operator": ">=", "value": 3, "state": "watch"}
+    assert kind("delivered revenue >100 is fine")[1] == {"subject_metric": "delivered_revenue", "operator": ">", "value": 100, "state": None}
+    assert kind("more than enough")[0] == "advisory" and kind("Use pending orders only")[1]["value"] == "pending"
+    assert kind("Values must be based on monetary data")[1] == {"directive": "must_use", "field_id": "shop.orders.amount"} and kind("Use order date")[1]["field_id"] == "shop.orders.order_date"
+    assert kind("Be on time")[0] == "advisory"
+
+
+def test_masks_hold_in_every_tool(spark, shop):
+    """Aliases, expressions, filters, aggregates and joins see masked columns, whichever tool reads them."""
+    masks = access.Masking(["shop.orders.status", "shop.orders.amount", "shop.orders.product_id", "shop.reviews.review_text"], ["admin"])
+    e = Engine(spark, shop, role="analyst", masking=masks, kernel=kernel.load({k: v for k, v in KERNEL.items() if k != "metrics"} | {"metrics": {"gross": {"name": "Gross", "collection": "common", "measure": "amount"}}}))
+    plan = lambda *select, **more: rows(e.call("execute_semantic_query", plan={"select": list(select), **more}))
+    assert {r["s"] for r in plan({"field": "shop.orders.status", "alias": "s"})} == {access.MASK}
+    assert plan({"field": "shop.orders.order_id"}, filters=[{"field": "shop.orders.status", "value": "delivered"}]) == []
+    assert [r["a"] for r in plan({"field": "shop.orders.amount", "aggregation": "max", "alias": "a"})] == [None]
+    assert plan({"field": "shop.products.product_name"}, {"field": "shop.orders.order_id"}, joins=[{"left": "shop.products.product_id", "right": "shop.orders.product_id"}]) == []
+    sql = rows(e.call("run_guarded_sql", sql="select upper(status) as u, amount + 1 as a, length(status) as n, product_id as p from orders where status <> 'pending'"))
+    assert {(r["u"], r["a"], r["n"], r["p"]) for r in sql} == {(access.MASK, None, len(access.MASK), None)}
+    assert rows(e.call("query_documents", table="orders", filters={"status": "delivered"})) == []
+    assert rows(e.call("search_text", table="reviews", query="great")) == []
+    assert [r["gross"] for r in rows(e.call("metric_query", term="gross"))] == [None]
+    assert [r["gross"] for r in rows(Engine(spark, shop, role="admin", masking=masks, kernel=e.kernel).call("metric_query", term="gross"))] == [159.96]
+
+
+def test_limits_have_a_total_order(spark, shop):
+    got = [r.order_id for r in compile_plan(spark, shop, {"select": [{"field": "shop.orders.order_id"}], "limit": 2}).collect()]
+    tied = [r.order_id for r in compile_plan(spark, shop, {"select": [{"field": "shop.orders.order_id"}, {"field": "shop.orders.customer_id"}], "order_by": [{"field": "customer_id", "direction": "desc"}], "limit": 1}).collect()]
+    assert got == ["O1", "O2"] and tied == ["O3"]
+    assert [r.order_id for r in documents.query_documents(spark, shop, "orders", limit=3).collect()] == ["O1", "O2", "O3"]
+    assert code(compile_plan, spark, shop, {**PLAN, "filters": [{"field": "shop.orders.status", "operator": "in", "value": list(range(501))}]}) == "plan_compile_failed"
+    assert code(text_search.search_text, spark, shop, "reviews", filters={"tags": list(range(501))}) == "filter_list_too_long"
+
+
+def test_text_search_over_several_fields(spark):
+    """Rows that share an id stay apart, and each is scored by its best field."""
+    df = spark.createDataFrame([(1, "red hat", "a hat for all"), (1, "blue", "nothing"), (2, "shirt", "red red red"), (3, None, "hat")], "id int, title string, body string")
+    got = text_search.bm25(df, ["title", "body"], ["hat"]).orderBy("id").collect()
+    single = {c: {tuple(r)[:3]: r["_score"] for r in text_search.bm25(df, c, ["hat"]).collect()} for c in ("title", "body")}
+    assert [tuple(r)[:3] for r in got] == [(1, "red hat", "a hat for all"), (3, None, "hat")]
+    assert all(r["_score"] == max(s.get(tuple(r)[:3], 0.0) for s in single.values()) for r in got)
+
+
+def test_only_pure_functions(spark, shop):
+    free = Engine(spark, shop)
+    for call in ("input_file_name()", "rand()", "current_date()", "spark_partition_id()", "java_method('a', 'b')"):
+        assert free.call("run_guarded_sql", sql=f"select {call} as x from orders")["reason_code"] == "forbidden_function"
+    assert free.call("run_guarded_sql", sql="select coalesce(max(abs(amount)), 0) as x from orders")["status"] == "ok"
+
+
+def test_federation_infers_sources(spark):
+    two = contracts.load("# dimensions\n- a.t.k: key of t\n- b.u.k: key of u\n- b.v.k: key of v\n- c.w.k: key of w\n# measures\n- a.t.n: number\n# relations\n- a.t.k = b.u.k\n# metrics\n- m: n\n", Sources([Source(s, "parquet") for s in "abc"]))
+    cite = "struct<evidence_id:string,source_id:string,may_support_claims:boolean>"
+    part = lambda s: spark.createDataFrame([("x", ("e" + s, s, True))], f"k string, _citation {cite}")
+    assert federation.combine_slices(part("a"), part("b"), "k", "k", contract=two).count() == 1
+    assert code(federation.combine_slices, part("a"), part("c"), "k", "k", contract=two) == "relation_not_declared"
+    assert federation.source_of(part("a").union(part("b"))) is None and federation.source_of(part("a").drop("_citation")) is None
+
+
+def test_connectors_have_real_options(spark):
+    pg = Source("p", "postgres", {"host": "db", "port": 5432, "database": "shop", "schema": "s", "user": "u", "password": "x"})
+    assert pg.options("orders") == {"url": "jdbc:postgresql://db:5432/shop", "dbtable": "s.orders", "driver": "org.postgresql.Driver", "user": "u", "password": "x"}
+    assert Source("d", "duckdb", {"path": "/x/a.duckdb"}).options("t")["url"] == "jdbc:duckdb:/x/a.duckdb"
+    assert Source("m", "mongodb", {"url": "mongodb://h", "database": "d"}).options("c") == {"connection.uri": "mongodb://h", "database": "d", "collection": "c"}
+    assert code(pg.scan, spark, "orders") == "connector_missing" and Source("q", "postgres", pg.config, {"t": "t"}).health(spark)["status"] == "error"
+    listed = Sources([Source("v", "qdrant", {"url": "http://x", "collection": "c"}), Source("w", "qdrant", {}, {"t": "/x"})])
+    assert listed.capability_map() == {"vector_search": ["w"]} and [s["available"] for s in listed.listing()] == [False, True]
+    issues = {i.code for i in check_config("sources:\n  a: {type: csv, path: x, colour: red, env: missing.env}\n", "/nowhere")}
+    assert issues == {"unexpected_setting", "env_file_missing"}
+
+
+TERMS = {
+    "sales": {"name": "Sales", "collection": "novashop", "aliases": ["Turnover"], "metrics": ["gross"], "owner": "ann", "certified": True, "verified_on": "2026-01-10", "guidance": "delivered orders"},
+    "buyer": {"name": "Buyer", "collection": "common", "entities": ["customer"], "certified": True, "verified_on": "2026-01-10"}, "old": {"name": "Old sales", "collection": "novashop", "metrics": ["gross"], "certified": True, "verified_on": "2020-01-01"},
+}
+
+
+def test_terms_are_checked():
+    k = kernel.load(KERNEL)
+    terms = context.load_terms(TERMS, k, {"old": {"max_age_days": 9999}})
+    assert terms["old"].max_age_days == 9999 and context.resolve_term(terms, k, "turnover", "novashop").id == "sales" and code(context.resolve_term, terms, k, "turnover") == "term_unknown"
+    for bad in ({"a": {"name": "A"}}, {"a": {"name": "A", "collection": "common", "colour": 1}}, {"a": {"name": "A", "collection": "nope"}}, {"a": {"name": "A", "collection": "common", "metrics": ["nope"]}}, {"a": {"name": "A", "collection": "common"}, "b": {"name": "B", "collection": "common", "aliases": ["a"]}}):
+        assert code(context.load_terms, bad, k) == "TERMS_INVALID"
+    assert code(context.load_terms, TERMS, k, {"nope": {}}) == "TERMS_INVALID"
+    card = context.card(terms["sales"], k)
+    assert card["lineage"] == ["column:s.orders.amount", "entity:order", "measure:amount", "metric:gross"] and card["join_paths"] == {"gross/customer": ["oc"], "gross/sku": ["lo"]}
+    assert context.facets(terms) == {"collection": {"common": 1, "novashop": 2}, "owner": {"": 2, "ann": 1}, "certified": {"true": 3}}
+    model = context.export_model(k, terms)
+    assert [m["name"] for m in model["metrics"]] == list(KERNEL["metrics"]) and model["datasets"][0]["source"] == "s.orders"
+
+
+def test_context_queries_packs_and_decisions(spark, shop, tmp_path):
+    k = kernel.load({**KERNEL, "metrics": {"gross": {"name": "Gross", "collection": "novashop", "measure": "amount", "rules": ["active"]}}})
+    e = Engine(spark, shop, kernel=k, terms=context.load_terms(TERMS, k), ledger=Ledger(spark, str(tmp_path / "ledger")))
+    ask = lambda term, **more: e.call("context_query", term=term, reference_date="2026-02-01", tenant="novashop", **more)
+    got = ask("turnover", claim={"period": "2026-01", "revenue_type": "gross"})
+    assert (got["answer"], got["trust"]["evidence_tier"], [r["gross"] for r in rows(got)]) == ("answer", 3, [109.97])
+    assert ask("sales", claim={"revenue_type": "gross"})["answer"] == "clarify" and ask("sales", claim={"period": "p", "revenue_type": "gross", "reported_as": "net"})["answer"] == "refuse"
+    assert ask("buyer")["reason_code"] == "term_without_metric" and ask("old")["reason_code"] == "term_not_usable" and ask("nope")["reason_code"] == "term_unknown"
+    subclaims = [{"term": "sales", "tenant": "novashop", "claim": {"period": "2026-01", "revenue_type": "gross"}}]
+    compose = lambda claims, **more: e.call("compose_evidence_pack", subclaims=claims, action="pricing:raise", reference_date="2026-02-01", **more)["pack"]
+    pack = compose(subclaims)
+    assert (pack["decision"], pack["tier"]) == ("answer", "correlational") and compose([*subclaims, {"term": "nope"}])["decision"] == "review_required"
+    assert compose(subclaims, bars=[("pricing:", "experimental")])["reasons"] == ["tier_below_bar"] and compose([*subclaims, {"term": "old", "tenant": "novashop"}])["decision"] == "refuse"
+    apart = [{**subclaims[0], "group": "g"}, {**subclaims[0], "group": "g", "claim": {"period": "2025-12", "revenue_type": "gross"}}]
+    assert compose(apart, triggers=["x*"])["decision"] == "review_required"
+    at = datetime(2026, 2, 1)
+    made = e.call("record_decision", pack=pack, chosen="raise", at=at)["decision_id"]
+    assert made == e.call("record_decision", pack=pack, chosen="raise", at=at)["decision_id"] and e.call("record_decision", pack=pack | {"contract_hash": "x"}, chosen="raise", at=at)["reason_code"] == "pack_expired"
+    assert e.call("record_outcome", decision_id=made, observed={"sales": 1}, at=at)["status"] == "ok" and e.call("record_outcome", decision_id="no", observed={}, at=at)["reason_code"] == "decision_unknown"
+    assert e.call("replay_decision", pack=pack)["changed"] == []
+    other = e.call("counterfactual", pack=pack, change={"bars": [("pricing:*", "established")]})
+    assert other["changed"] == ["policy_hash", "decision"] and other["pack"]["decision"] == "review_required"
+    assert {r.artifact_type for r in e.ledger.all().select("artifact_type").distinct().collect()} == {"decision", "outcome", "policy_decision"}
+
+
+def test_advice_by_many_plain_rules(spark, monkeypatch):
+    asked = spark.createDataFrame([(k, f"term{k}", "act") for k in range(3000)], "decision_id int, term string, action string")
+    many = spark.createDataFrame([(f"term{k}", f"t{k}") for k in range(2500)] + [("a?t", "any")], "pattern string, target_term string")
+    assert calibration.advised(asked, many).count() == 2500 + 3000
+    monkeypatch.setattr(calibration, "GLOBS", 0)
+    assert code(calibration.advised, asked, many) == "too_many_glob_rules"
+
+
 KERNEL = {
     "collections": {"novashop": {"priority": 100, "tenant": "novashop"}, "common": {"priority": 10}},
     "entities": {"order": {"source": "s", "table": "orders", "primary_key": "order_id", "time_field": "order_date"}, "customer": {"source": "s", "table": "customers", "primary_key": "customer_id"}, "line": {"source": "s", "table": "lines", "primary_key": "line_id"}},
