@@ -1,4 +1,4 @@
-"""Tools: every entry point passes the role gate, answers with status ok, clarify or refused, and masks what it returns."""
+"""Tools: every entry point passes the role gate, answers with status ok, clarify or refused, and reads masked tables."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ import json
 import sys
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import wraps
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.decisions import claims, context, record
+from tessera.decisions.ledger import Ledger
 from tessera.errors import Clarify, Refusal
 from tessera.functions.hashing import content_id, digest
 from tessera.metrics import compiler, freshness, lineage, resolve
@@ -58,8 +61,15 @@ class Engine:
     kernel: Kernel | None = None
     policy: Sequence[Mapping[str, Any]] = ()
     certificates: Sequence[Mapping[str, Any]] = ()
+    terms: Mapping[str, context.Term] = field(default_factory=dict)
+    ledger: Ledger | None = None
     trace_id: str = ""
 
+    @property
+    def seen(self) -> Contract:
+        """The contract as the role sees it: every tool reads its tables through it."""
+        return self.contract.seen_by(self.masking, self.role)
+
     def _cited(self, df: DataFrame, source_id: str, fields: Sequence[str], identity: Sequence[str] = (), **more: Any) -> dict[str, Any]:
         record = citations.provenance(self.contract, source_id, fields, **more)
         there = [c for c in identity if c in df.columns]
@@ -90,7 +100,7 @@ class Engine:
         if metric:
             found = packs.resolve_metric(self.contract, metric, use_packs=use_packs)
             stamp = {"metric": {"metric_id": found.metric_id, "tier": found.tier, **(packs.verify_plan(self.contract, found.spec, plan) if "terms" in found.spec else {})}}
-        df = semantic_plan.compile_plan(self.spark, self.contract, plan)
+        df = semantic_plan.compile_plan(self.spark, self.seen, plan)
         fields = sorted({s["field"] for s in plan["select"]} | {f["field"] for f in plan.get("filters") or ()})
         grouped = any(s.get("aggregation") for s in plan["select"])
         names = [s.get("alias") or self.contract.field(s["field"])["column"] for s in plan["select"] if s["field"] in (plan.get("group_by") or ())]
@@ -99,23 +109,23 @@ class Engine:
 
     @tool
     def run_guarded_sql(self, sql: str, limit: int | None = None, citation_mode: str = "exploratory", purpose: str | None = None, strict: bool = False) -> dict[str, Any]:
-        df, facts = guarded_sql(self.spark, self.contract, sql, limit, strict, citation_mode, purpose)
+        df, facts = guarded_sql(self.spark, self.seen, sql, limit, strict, citation_mode, purpose)
         source = self.contract.owners()[facts["tables"][0]]
         fields = facts["fields"] or [next(iter(self.contract.data["tables"][facts["tables"][0]]["columns"].values()))]
         return {**self._cited(df, source, fields, may_support_claims=facts["may_support_claims"]), "facts": facts}
 
     @tool
     def query_documents(self, table: str, **request: Any) -> dict[str, Any]:
-        df = documents.query_documents(self.spark, self.contract, table, **request)
+        df = documents.query_documents(self.spark, self.seen, table, **request)
         return self._table_answer(df, table)
 
     @tool
     def search_text(self, table: str, **request: Any) -> dict[str, Any]:
-        return self._table_answer(text_search.search_text(self.spark, self.contract, table, **request), table)
+        return self._table_answer(text_search.search_text(self.spark, self.seen, table, **request), table)
 
     @tool
     def search_vector(self, table: str, **request: Any) -> dict[str, Any]:
-        return self._table_answer(vector_search.search_vector(self.spark, self.contract, table, **request), table)
+        return self._table_answer(vector_search.search_vector(self.spark, self.seen, table, **request), table)
 
     def _table_answer(self, df: DataFrame, table: str) -> dict[str, Any]:
         entry = self.contract.data["tables"][table]
@@ -149,9 +159,12 @@ class Engine:
 
         found = resolve.resolve(k, term, tenant, industry, stale(k, self.certificates))
         verdict = access.decide(self.policy, {"role": self.role or "", "operation": "metric_query", "metric": found.metric.id, "source": ""})
+        if self.ledger is not None:
+            asked = {"role": self.role, "operation": "metric_query", "metric": found.metric.id}
+            self.ledger.append([{"artifact_type": "policy_decision", "source_id": "policy", "payload": {**asked, **verdict}, "recorded_at": datetime.now(), "contract_hash": self.contract.hash}])
         if not verdict["allowed"]:
             raise Refusal("policy_denied", verdict["rule_id"])
-        table = lambda t: self.contract.table(self.spark, t)
+        table = lambda t: self.seen.table(self.spark, t)
         made = compiler.compile_metric(k, table, found.metric, reference_date=reference_date, **request)
         caveats = [*found.caveats, *made.caveats]
         if reference_date:
@@ -171,6 +184,55 @@ class Engine:
             raise Clarify("metric_unknown", metric_id, sorted(self._kernel().metrics))
         return {"metric": m.__dict__, "definition_hash": m.definition_hash}
 
+    def _terms(self) -> Mapping[str, context.Term]:
+        self._kernel()
+        return self.terms
+
+    @tool
+    def context_query(self, term: str, reference_date: str, claim: Mapping[str, Any] | None = None, **request: Any) -> dict[str, Any]:
+        return context.context_query(self, self._terms(), term, reference_date, claim, **request)
+
+    @tool
+    def context_card(self, term: str, tenant: str | None = None, industry: str | None = None) -> dict[str, Any]:
+        return {"card": context.card(context.resolve_term(self._terms(), self._kernel(), term, tenant, industry), self._kernel())}
+
+    @tool
+    def context_facets(self) -> dict[str, Any]:
+        return {"facets": context.facets(self._terms())}
+
+    @tool
+    def export_semantic_model(self) -> dict[str, Any]:
+        return {"model": context.export_model(self._kernel(), self.terms)}
+
+    @tool
+    def describe_constraints(self) -> dict[str, Any]:
+        return {"constraints": [{"code": code, "outcome": outcome} for code, outcome, _ in claims.shapes()], "fields": list(context.CLAIM_FIELDS)}
+
+    @tool
+    def compose_evidence_pack(self, subclaims: Sequence[Mapping[str, Any]], action: str, reference_date: str, bars: Sequence[tuple[str, str]] = (), triggers: Sequence[str] = ()) -> dict[str, Any]:
+        return {"pack": record.compose(self, self._terms(), subclaims, action, reference_date, bars, triggers)}
+
+    def _ledger(self) -> Ledger:
+        if self.ledger is None:
+            raise Refusal("ledger_missing", "no ledger is set")
+        return self.ledger
+
+    @tool
+    def record_decision(self, pack: Mapping[str, Any], chosen: str, at: datetime) -> dict[str, Any]:
+        return {"decision_id": record.record_decision(self._ledger(), pack, chosen, at, self.contract.hash)}
+
+    @tool
+    def record_outcome(self, decision_id: str, observed: Mapping[str, Any], at: datetime) -> dict[str, Any]:
+        return {"outcome_id": record.record_outcome(self._ledger(), decision_id, observed, at)}
+
+    @tool
+    def replay_decision(self, pack: Mapping[str, Any]) -> dict[str, Any]:
+        return record.replay(self, self._terms(), pack)
+
+    @tool
+    def counterfactual(self, pack: Mapping[str, Any], change: Mapping[str, Any]) -> dict[str, Any]:
+        return record.counterfactual(self, self._terms(), pack, change)
+
     @tool
     def metric_lineage(self, metric_id: str) -> dict[str, Any]:
         return {"rows": lineage.closure(lineage.edges(self.spark, self._kernel()), [f"metric:{metric_id}"])}
@@ -192,7 +254,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("--health-check", action="store_true")
     a = p.parse_args(argv)
     config = Path(a.sources).read_text()
-    issues = check_config(config)
+    issues = check_config(config, Path(a.sources).parent)
     if any(i.is_error for i in issues):
         print(json.dumps([i.__dict__ for i in issues], indent=2))
         return 1

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import Refusal
 from tessera.functions.stats import wilson
 
+#: Most rules with a glob that are tried against every decision.
+GLOBS = 10_000
 #: Numeric outcomes within this distance match.
 TOLERANCE = 0.01
 
@@ -44,9 +47,29 @@ def latest(records: DataFrame, key: str, when: str = "recorded_at") -> DataFrame
 
 
 def advised(decisions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(decision_id, target_term) where a rule's glob (pattern, target_term) matches a decision's term or action."""
+    """(decision_id, target_term) where a rule's pattern (pattern, target_term) equals, or as a glob matches, a decision's
+    term or action.
+
+    Plain patterns, however many, meet decisions by equality. Globs must be tried one by one: more than GLOBS of them
+    are refused, as their list is broadcast."""
     glob = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace("pattern", r"([.\\+^$(){}|\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    return decisions.join(F.broadcast(rules.limit(1000)), F.rlike("term", glob) | F.rlike("action", glob)).select("decision_id", "target_term").distinct()
+    is_glob = F.col("pattern").rlike(r"[*?]")
+    globs, plain = rules.where(is_glob), rules.where(~is_glob)
+    if (n := globs.count()) > GLOBS:
+        raise Refusal("too_many_glob_rules", f"{n} globs, {GLOBS} at most")
+    named = decisions.select("decision_id", F.explode(F.array("term", "action")).alias("pattern"))
+    found = named.join(plain, "pattern").select("decision_id", "target_term")
+    return found.union(decisions.join(F.broadcast(globs), F.rlike("term", glob) | F.rlike("action", glob)).select("decision_id", "target_term")).distinct()
+
+
+def drifted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(decision_id, changed) of recorded and replayed decisions (decision_id, contract_hash, policy_hash, decision,
+    tier): what differs, or 'missing' where a decision could not be replayed, joined by commas; '' where nothing does."""
+    names = ("contract_hash", "policy_hash", "decision", "tier")
+    other = after.select("decision_id", F.lit(True).alias("__there"), *[F.col(c).alias(f"__{c}") for c in names])
+    both = before.select("decision_id", *names).join(other, "decision_id", "left")
+    changed = F.array_join(F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in names])), ",")
+    return both.select("decision_id", F.when(F.col("__there").isNull(), "missing").otherwise(changed).alias("changed"))
 
 
 def drift(before: dict, after: dict) -> list[str]:

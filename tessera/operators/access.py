@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from fnmatch import fnmatchcase
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.errors import Refusal
 
@@ -34,13 +35,17 @@ class Masking:
     def applies(self, role: str | None) -> bool:
         return bool(self.sensitive) and role is not None and role not in self.unmasked
 
-    def table(self, df: DataFrame, source: str, table: str, role: str | None) -> DataFrame:
-        """The governed table with its sensitive columns replaced by the token, nulls too. Being masked at the scan, a
-        column stays masked under any alias or expression, and its values never leave the source."""
+    def table(self, df: DataFrame, source: str, table: str, role: str | None, keys: Collection[str] = ()) -> DataFrame:
+        """The governed table with its sensitive columns replaced, nulls too. Being masked at the scan, a column stays
+        masked under any alias, filter or expression, and its values never leave the source.
+
+        Text becomes the token. Other types become null, so that expressions keep their types; so do ``keys``, columns
+        that relations use: as a token they would join every row with every other."""
         if not self.applies(role):
             return df
         columns = [f.split(".")[2] for f in self.sensitive if f.split(".")[:2] == [source, table]]
-        return df.withColumns({c: F.lit(self.token) for c in columns if c in df.columns})
+        made = {c: F.lit(self.token) if isinstance(df.schema[c].dataType, StringType) and c not in keys else F.lit(None).cast(df.schema[c].dataType) for c in columns if c in df.columns}
+        return df.withColumns(made)
 
     def result(self, df: DataFrame, role: str | None) -> DataFrame:
         """A finished result masked by column names, with or without a left_ or right_ prefix."""
@@ -85,4 +90,5 @@ def policy_matrix(requests: DataFrame, rules: Sequence[Mapping[str, Any]]) -> Da
 
 def governed_views(spark: SparkSession, contract, masking: Masking, role: str | None) -> dict[str, DataFrame]:
     """Every declared table with its rules and masks."""
-    return {t: masking.table(contract.table(spark, t), e["source"], t, role) for t, e in contract.data["tables"].items()}
+    seen = contract.seen_by(masking, role)
+    return {t: seen.table(spark, t) for t in contract.data["tables"]}

@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType
 
 from tessera.errors import Refusal
 from tessera.plans.contract import Contract
-from tessera.plans.semantic_plan import clamp
+from tessera.plans.roles import columns_with
+from tessera.plans.semantic_plan import clamp, ties
 
 OPERATORS = ("eq", "ne", "in", "nin", "gt", "gte", "lt", "lte", "exists")
 
@@ -50,6 +51,7 @@ def query_documents(
     """Rows that meet every clause and no exclusion. ``filters``: key -> value or {operator: value, ...}.
 
     Each clause is a condition of its own, so none can replace an exclusion. Ascending sorts put missing values first.
+    Rows that tie, or all without a sort, come by the table's identity and then its other columns.
     """
     contract.require_valid()
     if table not in contract.data["tables"]:
@@ -60,15 +62,14 @@ def query_documents(
         name = column_of(contract, table, key)
         for op, value in spec.items() if isinstance(spec, Mapping) else (("eq", spec),):
             df = df.where(clause(F.col(name), op.removeprefix("$"), value, name in arrays))
-    if sort:
-        order = []
-        for s in sort:
-            key, direction = (s, 1) if isinstance(s, str) else s
-            if direction not in (1, -1):
-                raise Refusal("operator_not_allowed", f"sort direction {direction}")
-            c = F.col(column_of(contract, table, key))
-            order.append(c.asc_nulls_first() if direction == 1 else c.desc_nulls_last())
-        df = df.orderBy(*order)
+    order, named = [], columns_with(contract.data, table, "identity")
+    for s in sort or ():
+        key, direction = (s, 1) if isinstance(s, str) else s
+        if direction not in (1, -1):
+            raise Refusal("operator_not_allowed", f"sort direction {direction}")
+        c = F.col(column_of(contract, table, key))
+        order.append(c.asc_nulls_first() if direction == 1 else c.desc_nulls_last())
+    df = df.orderBy(*order, *ties(df, [*named, *[c for c in df.columns if c not in named]]))
     if projection:
         df = df.select(*dict.fromkeys(column_of(contract, table, p) for p in projection))
     return df.limit(clamp(limit))

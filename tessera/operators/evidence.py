@@ -47,6 +47,30 @@ def closure_issues(claims: DataFrame, citations: DataFrame, envelopes: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Columns that a packet's tables must have, and those whose values may not be missing.
+SHAPES = {
+    "claims": ({"claim_id": "string", "evidence_ids": "array<string>", "source_ids": "array<string>"}, ("claim_id",)),
+    "citations": ({"evidence_id": "string", "kind": "string", "source_id": "string", "provenance_id": "string", "supporting_evidence_ids": "array<string>", "may_support_claims": "boolean"}, ("evidence_id", "kind", "source_id")),
+    "envelopes": ({"provenance_id": "string", "source_id": "string", "contract_hash": "string"}, ("provenance_id", "source_id", "contract_hash")),
+}
+
+
+def schema_issues(table: str, df: DataFrame) -> DataFrame:
+    """(code, subject, detail, rows) of what is wrong with the form of one table of a packet: columns that are missing
+    or have another type, and required columns in which rows have nothing. One pass over the rows."""
+    columns, required = SHAPES[table]
+    there = dict(df.dtypes)
+    bad = [("column_missing", table, c, None) for c in columns if c not in there]
+    bad += [("column_type", table, f"{c}: {there[c]}", None) for c, kind in columns.items() if c in there and there[c] != kind]
+    out = df.sparkSession.createDataFrame(bad, "code string, subject string, detail string, rows long")
+    tested = [c for c in required if c in there]
+    if tested:
+        counts = df.agg(*[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(c) for c in tested])
+        each = counts.select(F.explode(F.array(*[F.struct(F.lit("value_missing").alias("code"), F.lit(table).alias("subject"), F.lit(c).alias("detail"), F.col(c).alias("rows")) for c in tested])).alias("x"))
+        out = out.union(each.select("x.*").where("rows > 0"))
+    return out
+
+
 def missing_focus(request: dict) -> list[str]:
     """What an analysis request still has to state."""
     needs = {"metric": "metric_required", "time": "time_scope_required", "sources": "source_required", "relations": "relation_required", "decision": "decision_required", "capability": "capability_required"}

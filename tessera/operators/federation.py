@@ -43,6 +43,14 @@ def _related(contract: Contract, left: str | None, right: str | None) -> None:
             raise Refusal("relation_not_declared", f"{left} and {right}")
 
 
+def source_of(df: DataFrame) -> str | None:
+    """The source of a slice by its citations; None without citations or where they name several sources."""
+    if CITATION not in df.columns or "source_id" not in df.select(f"{CITATION}.*").columns:
+        return None
+    found = [r[0] for r in df.select(F.col(f"{CITATION}.source_id")).distinct().limit(2).collect()]
+    return found[0] if len(found) == 1 else None
+
+
 def combine_slices(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, strategy: str = "exact", limit: int | None = None, order: tuple[list[str], list[str]] | None = None,
     contract: Contract | None = None, sources: tuple[str | None, str | None] = (None, None),
@@ -52,11 +60,12 @@ def combine_slices(
     Rows come by the left's order, then the right's (``order``: columns that sort each; default all of them), and the
     limit (1 to 500, default 100) keeps the first. Null keys never match, and keys of different kinds are not cast.
     ``_conflicts`` lists shared fields, without keys and those that begin with an underscore, whose values disagree;
-    ``_citation`` appears where a side has one, and supports claims only if both do.
+    ``_citation`` appears where a side has one, and supports claims only if both do. ``sources``: what each slice is
+    from, by default what its citations say; a relation of the contract must connect them.
     """
     if contract is not None:
         contract.require_valid()
-        _related(contract, *sources)
+        _related(contract, *(named or source_of(df) for named, df in zip(sources, (left, right), strict=True)))
     for df, key, side in ((left, left_key, "left"), (right, right_key, "right")):
         _gate(df, key, side)
     kinds = dict(left.dtypes)[left_key], dict(right.dtypes)[right_key]

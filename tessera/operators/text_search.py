@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tessera.errors import Refusal
 from tessera.operators.documents import column_of
 from tessera.plans.contract import Contract
 from tessera.plans.roles import columns_with
-from tessera.plans.semantic_plan import MAX_IN, clamp
+from tessera.plans.semantic_plan import MAX_IN, clamp, ties
 
 #: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
@@ -22,7 +23,7 @@ K1, B = 1.2, 0.75
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_terms(query: str) -> list[str]:
@@ -36,27 +37,31 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(out))
 
 
-def bm25(df: DataFrame, column: str, terms: Sequence[str], name: str = "_score") -> DataFrame:
-    """df's rows with a term in the column, scored.
+def bm25(df: DataFrame, columns: str | Sequence[str], terms: Sequence[str], name: str = "_score") -> DataFrame:
+    """df's rows with a term in one of the columns, with the score of the column that scores best.
 
-    One aggregation finds the collection's statistics: number of rows, mean length, and each query term's document
-    frequency, a single row whatever the collection's size. Scores are then a map over the rows that match.
+    One aggregation finds each column's statistics: number of rows, mean length, and each term's document frequency, a
+    single row whatever the collection's size. Scores are then a map over the rows that contain a term as a string,
+    which is told without splitting them into words.
     """
-    counted = df.withColumn("__t", tokens(F.col(column))).withColumn("__len", F.size("__t"))
-    equals = lambda t: lambda x: x == F.lit(t)
-    tf = [F.size(F.filter("__t", equals(t))) for t in terms]
-    counted = counted.withColumns({f"__tf{k}": c for k, c in enumerate(tf)}).drop("__t")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("__len").alias("mean"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        idf = math.log(1 + (stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))
-        f = F.col(f"__tf{k}").cast("double")
-        score += F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.lit(stats["mean"] or 1.0)))
-    some = [F.col(f"__tf{k}") > 0 for k in range(len(terms))]
-    any_ = some[0]
-    for s in some[1:]:
-        any_ |= s
-    return counted.where(any_).withColumn(name, score).drop("__len", *[f"__tf{k}" for k in range(len(terms))])
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    size = lambda k: F.size(F.col(f"__t{k}"))
+    split = {f"__t{k}": tokens(F.col(c)) for k, c in enumerate(columns)}
+    has = lambda k, t: F.array_contains(F.col(f"__t{k}"), t)
+    measures = [m for k in range(len(columns)) for m in (F.avg(size(k)).alias(f"mean{k}"), *[F.count_if(has(k, t)).alias(f"df{k}_{j}") for j, t in enumerate(terms)])]
+    stats = df.select(*columns).withColumns(split).agg(F.count(F.lit(1)).alias("n"), *measures).first()
+    near = reduce(Column.__or__, [F.contains(F.lower(F.col(c)), F.lit(t)) for c in columns for t in terms])
+    scores = []
+    for k in range(len(columns)):
+        score = F.lit(0.0)
+        for j, t in enumerate(terms):
+            often = stats[f"df{k}_{j}"]
+            f = (size(k) - F.size(F.array_remove(F.col(f"__t{k}"), t))).cast("double")
+            score += F.lit(math.log(1 + (stats["n"] - often + 0.5) / (often + 0.5))) * f * (K1 + 1) / (f + K1 * (1 - B + B * size(k) / F.lit(stats[f"mean{k}"] or 1.0)))
+        scores.append(score)
+    some = reduce(Column.__or__, [has(k, t) for k in range(len(columns)) for t in terms])
+    out = df.where(near).withColumns(split).where(some).withColumn(name, F.greatest(*scores) if len(scores) > 1 else scores[0])
+    return out.drop(*split)
 
 
 def search_text(
@@ -75,7 +80,10 @@ def search_text(
     for key, value in (filters or {}).items():
         name = column_of(contract, table, key)
         banned = {x["value"] for x in contract.exclusions(table) if x["column"] == name}
-        values = [v for v in (value if isinstance(value, (list, tuple)) else [value])[:MAX_IN] if v not in banned]
+        values = value if isinstance(value, (list, tuple)) else [value]
+        if len(values) > MAX_IN:
+            raise Refusal("filter_list_too_long", f"{key}: {MAX_IN} values at most")
+        values = [v for v in values if v not in banned]
         if not values:
             df = df.where(F.lit(False))
         else:
@@ -83,17 +91,10 @@ def search_text(
     order = id_column or next(iter(columns_with(contract.data, table, "identity")), df.columns[0])
     terms = query_terms(query or "")
     if not terms:
-        return df.withColumn("_score", F.lit(1.0)).orderBy(order).limit(clamp(limit, default=20))
+        return df.withColumn("_score", F.lit(1.0)).orderBy(order, *ties(df, [c for c in df.columns if c != order])).limit(clamp(limit, default=20))
     fields = columns_with(contract.data, table, "body_text", "display_name")
     if not fields:
         raise Refusal("text_search_fields_unresolved", table)
-    if len(fields) == 1:
-        out = bm25(df, fields[0], terms)
-    else:
-        parts = [bm25(df, f, terms) for f in fields]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        rest = [c for c in df.columns if c != order]
-        out = out.groupBy(order).agg(*[F.first(c).alias(c) for c in rest], F.max("_score").alias("_score")).select(*df.columns, "_score")
-    return out.orderBy(F.desc("_score"), F.asc(order)).limit(clamp(limit, default=20))
+    out = bm25(df, fields, terms)
+    rest = [c for c in df.columns if c != order]
+    return out.orderBy(F.desc("_score"), F.asc(order), *ties(out, rest)).limit(clamp(limit, default=20))

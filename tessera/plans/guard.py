@@ -16,7 +16,20 @@ from tessera.plans.semantic_plan import clamp
 
 #: Statements that change something, wherever the word stands.
 MUTATING = ("insert", "update", "delete", "drop", "alter", "truncate", "create", "grant", "revoke", "copy", "merge")
-#: Functions that reach outside the data or wait.
+#: Functions that a query may use: pure ones over the rows it reads.
+ALLOWED = frozenset("""
+    any any_value approx_count_distinct array_agg avg bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp every first first_value grouping grouping_id kurtosis last last_value
+    max max_by mean median min min_by mode percentile percentile_approx percentile_cont percentile_disc skewness some std stddev stddev_pop stddev_samp sum try_avg try_sum var_pop var_samp variance
+    cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number
+    abs acos asin atan atan2 bround cbrt ceil ceiling cos degrees div e exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket
+    ascii btrim char_length character_length concat concat_ws contains endswith format_number initcap instr lcase left length levenshtein locate lower lpad ltrim octet_length overlay position regexp_count regexp_extract regexp_like
+    regexp_replace replace reverse right rlike rpad rtrim split split_part startswith substr substring substring_index translate trim ucase upper
+    add_months cast date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear extract hour last_day make_date minute month months_between next_day quarter second timestamp to_date to_timestamp
+    trunc unix_date weekday weekofyear year
+    coalesce if ifnull isnotnull isnull nanvl nullif nvl nvl2 when
+    array array_contains array_distinct array_join array_max array_min array_position array_size cardinality element_at explode explode_outer get_json_object json_array_length map_keys map_values named_struct posexplode size sort_array struct
+""".split())
+#: Functions whose names say why they are refused: they reach outside the data or wait.
 FORBIDDEN = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_user session_user user version uuid raise_error assert_true sleep pg_sleep pg_read_file dblink lo_import lo_export read_csv read_parquet read_json read_files current_setting set_config".split())
 #: Parts of parsed plans that only read.
 _READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Offset Distinct Join Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedSubqueryColumnAliases WithWindowDefinition OneRowRelation UnresolvedInlineTable Generate UnresolvedHaving LateralJoin Pivot UnresolvedPivot Unpivot UnresolvedHint Tail Sample UnresolvedTVFAliases ResolvedInlineTable LocalRelation UnresolvedOrderBy".split())
@@ -88,7 +101,7 @@ def check(spark: SparkSession, contract: Contract, sql: str) -> ParsedQuery:
     parsed = ParsedQuery(spark, sql)
     if odd := sorted(k for k in parsed.kinds if k not in _READING):
         raise Refusal("mutating_sql" if any("Insert" in k or "Command" in k for k in odd) else "not_read_only_select", ", ".join(odd))
-    if found := sorted(parsed.functions & FORBIDDEN):
+    if found := sorted(parsed.functions & FORBIDDEN) or sorted(parsed.functions - ALLOWED):
         raise Refusal("forbidden_function", ", ".join(found))
     if not parsed.relations:
         raise Refusal("no_table_source", "the query reads no table")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tessera.errors import Refusal
 from tessera.plans.contract import Contract
@@ -34,7 +35,9 @@ def predicate(c: Column, operator: str, value: Any) -> Column:
     if operator == "in":
         if not isinstance(value, (list, tuple)) or not value:
             raise _refuse("'in' needs a list with a value")
-        return c.isin(list(value)[:MAX_IN])
+        if len(value) > MAX_IN:
+            raise _refuse(f"'in' takes {MAX_IN} values at most")
+        return c.isin(list(value))
     if operator not in COMPARISONS:
         raise _refuse(f"operator {operator!r}")
     return COMPARISONS[operator](c, F.lit(value))
@@ -69,7 +72,9 @@ def _joined(plan: Mapping[str, Any], contract: Contract, frames: dict[str, DataF
 
 
 def compile_plan(spark: SparkSession, contract: Contract, plan: Mapping[str, Any]) -> DataFrame:
-    """DataFrame of a plan. Exclusions apply unless apply_global_rules is exactly False; limit is 1 to 100."""
+    """DataFrame of a plan. Exclusions apply unless apply_global_rules is exactly False; limit is 1 to 100.
+
+    Rows come by order_by, and rows that tie, or all without it, by the selected columns from left to right."""
     contract.require_valid()
     select = list(plan.get("select") or ())
     if not select:
@@ -115,11 +120,18 @@ def compile_plan(spark: SparkSession, contract: Contract, plan: Mapping[str, Any
         df = df.select(*[F.col(a) if s.get("aggregation") else at[s["field"]].alias(a) for s, a in zip(select, aliases, strict=True)], *[at[o].alias(h) for o, h in zip(order_fields, hidden, strict=True)])
     else:
         df = df.select(*made, *[col(o).alias(h) for o, h in zip(order_fields, hidden, strict=True)])
-    if order_by:
-        df = df.orderBy(*[_order(hidden[order_fields.index(o["field"])] if o["field"] in order_fields else o["field"], o.get("direction", "asc")) for o in order_by])
+    order = [_order(hidden[order_fields.index(o["field"])] if o["field"] in order_fields else o["field"], o.get("direction", "asc")) for o in order_by]
+    order += ties(df, [a for a in aliases if a not in {o["field"] for o in order_by}])
+    if order and (group_by or not grouped):
+        df = df.orderBy(*order)
     return df.limit(clamp(plan.get("limit"))).select(*aliases)
 
 
+def ties(df: DataFrame, columns: Iterable[str]) -> list[Column]:
+    """Order by the columns that can be ordered: with it, a limit keeps the same rows in every run."""
+    return [F.col(c).asc_nulls_last() for c in columns if not isinstance(df.schema[c].dataType, (MapType, VariantType))]
+
+
 def _order(name: str, direction: str) -> Column:
     if direction not in ("asc", "desc"):
         raise _refuse(f"direction {direction!r}")

@@ -602,3 +602,52 @@ def _event_windows(spark, sf_dir):
 
 
 _add("event_windows", _event_windows, "select cast(date_trunc('day', ts) as date)::varchar as day, event_type as kind, count(*) as n from events group by 1, 2")
+
+
+def _replayed(spark, sf_dir):
+    """Decisions on orders, replayed after some tiers fell, contracts changed and others went missing."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderstatus").alias("decision"))
+    before = o.select("decision_id", F.lit("c1").alias("contract_hash"), F.lit("p1").alias("policy_hash"), "decision", F.lit("observational").alias("tier"))
+    after = before.where("decision_id % 11 <> 0").withColumn("contract_hash", F.when(F.col("decision_id") % 3 == 0, "c2").otherwise("c1"))
+    after = after.withColumn("tier", F.when(F.col("decision_id") % 5 == 0, F.lit(None)).otherwise(F.col("tier"))).withColumn("decision", F.when(F.col("decision_id") % 7 == 0, "refuse").otherwise(F.col("decision")))
+    return calibration.drifted(before, after)
+
+
+_add("replay_drift", _replayed, """select o_orderkey as decision_id, case when o_orderkey % 11 = 0 then 'missing' else array_to_string(list_filter([case when o_orderkey % 3 = 0 then 'contract_hash' end, case when o_orderkey % 7 = 0 then 'decision' end,
+    case when o_orderkey % 5 = 0 then 'tier' end], lambda x: x is not null), ',') end as changed from orders""")
+
+
+def _forms(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cites = o.select(F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("ev:"), "o_orderkey")).alias("evidence_id"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise("atomic").alias("kind"), F.lit(W).alias("source_id"), F.col("o_orderkey").alias("provenance_id"), F.lit(True).alias("may_support_claims"))
+    return evidence.schema_issues("citations", cites)
+
+
+_add("packet_schema", _forms, """select 'column_missing' as code, 'citations' as subject, 'supporting_evidence_ids' as detail, null::bigint as rows union all select 'column_type', 'citations', 'provenance_id: bigint', null
+    union all select 'value_missing', 'citations', 'evidence_id', count(*) from orders where o_orderkey % 5 = 0 having count(*) > 0 union all select 'value_missing', 'citations', 'kind', count(*) from orders where o_orderkey % 3 = 0 having count(*) > 0""")
+
+
+def _advice(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderpriority").alias("term"), F.concat(F.lit("status:"), "o_orderstatus").alias("action"))
+    rules = spark.createDataFrame([("1-*", "urgent"), ("status:F", "final"), ("status:?", "any"), ("nothing", "none")], "pattern string, target_term string")
+    return calibration.advised(o, rules)
+
+
+_add("advisory_targets", _advice, """select distinct o_orderkey as decision_id, t as target_term from orders, (values ('urgent'), ('final'), ('any')) x(t)
+    where t = 'urgent' and starts_with(o_orderpriority, '1-') or t = 'final' and o_orderstatus = 'F' or t = 'any' and length(o_orderstatus) = 1""")
+
+
+def _masked(name: str, text: str, call: str, /, **request) -> None:
+    """An answer of the engine to a role for which the customers' names and balances are masked."""
+
+    def query(spark, sf_dir):
+        masks = access.Masking([f"{W}.customer.customer_name", f"{W}.customer.account_balance"], ["admin"])
+        return engine(spark, sf_dir, role="analyst", masking=masks).call(call, **request)["rows"].drop("_citation")
+
+    _add(name, query, text)
+
+
+_masked("masked_alias", "select '***MASKED***' as who, c_custkey as customer_id from customer where c_mktsegment <> 'BUILDING' order by 2 limit 20", "execute_semantic_query", plan={"select": [_f("customer.customer_name", alias="who"), _f("customer.customer_id")], "order_by": [_o("customer_id")], "limit": 20})
+_masked("masked_filter", "select c_custkey as customer_id from customer where false", "execute_semantic_query", plan={"select": [_f("customer.customer_id")], "filters": [_w("customer.customer_name", "!=", "***MASKED***")]})
+_masked("masked_expression", "select '***MASKED***' as up, 12::int as n, null::double as most", "run_guarded_sql", sql="select max(upper(customer_name)) as up, max(length(customer_name)) as n, max(account_balance) as most from customer")
+_masked("masked_metric", "select c_mktsegment as segment, null::double as balance from customer where c_mktsegment <> 'BUILDING' group by 1", "metric_query", term="balance", dimensions=["segment"])

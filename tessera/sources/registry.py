@@ -16,17 +16,18 @@ from tessera.errors import Issue, Refusal
 
 STRUCTURED, DOCUMENT, TEXT, VECTOR = "structured_query", "document_query", "text_search", "vector_search"
 
-#: Source types: Spark format, capabilities, and required settings. Network sources read through Spark's connectors.
+#: Source types: Spark format, capabilities, and required settings. Network sources read through Spark's connectors,
+#: whose class is ``driver``; a type with ``exports`` has no connector that reads, and is there for tables exported as files.
 TYPES: dict[str, dict[str, Any]] = {
     "parquet": {"format": "parquet", "capabilities": (STRUCTURED, DOCUMENT, TEXT, VECTOR), "required": ("path",)},
     "csv": {"format": "csv", "capabilities": (STRUCTURED,), "required": ("path",)},
     "json": {"format": "json", "capabilities": (STRUCTURED, DOCUMENT), "required": ("path",)},
-    "duckdb": {"format": "parquet", "capabilities": (STRUCTURED,), "required": ("path",)},
-    "postgres": {"format": "jdbc", "capabilities": (STRUCTURED,), "required": ("host", "port", "database")},
-    "snowflake": {"format": "snowflake", "capabilities": (STRUCTURED,), "required": ("url", "database")},
-    "mongodb": {"format": "mongodb", "capabilities": (DOCUMENT,), "required": ("url", "database")},
-    "opensearch": {"format": "opensearch", "capabilities": (TEXT,), "required": ("url", "index")},
-    "qdrant": {"format": "parquet", "capabilities": (VECTOR,), "required": ("url", "collection")},
+    "duckdb": {"format": "jdbc", "capabilities": (STRUCTURED,), "required": ("path",), "driver": "org.duckdb.DuckDBDriver"},
+    "postgres": {"format": "jdbc", "capabilities": (STRUCTURED,), "required": ("host", "port", "database"), "driver": "org.postgresql.Driver"},
+    "snowflake": {"format": "snowflake", "capabilities": (STRUCTURED,), "required": ("url", "database"), "driver": "net.snowflake.spark.snowflake.DefaultSource"},
+    "mongodb": {"format": "mongodb", "capabilities": (DOCUMENT,), "required": ("url", "database"), "driver": "com.mongodb.spark.sql.connector.MongoTableProvider"},
+    "opensearch": {"format": "opensearch", "capabilities": (TEXT,), "required": ("url", "index"), "driver": "org.opensearch.spark.sql.DefaultSource"},
+    "qdrant": {"format": "parquet", "capabilities": (VECTOR,), "required": ("url", "collection"), "exports": True},
 }
 SECRETS = ("password", "token", "secret", "api_key")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -46,15 +47,43 @@ class Source:
     def capabilities(self) -> tuple[str, ...]:
         return tuple(self.config.get("operations") or TYPES[self.source_type]["capabilities"])
 
+    @property
+    def readable(self) -> bool:
+        """Whether its tables can be scanned at all."""
+        return self.available and (not TYPES[self.source_type].get("exports") or bool(self.tables))
+
+    def options(self, table: str) -> dict[str, str]:
+        """Options of Spark's reader for a table of a network source."""
+        c, kind = self.config, self.source_type
+        own = {str(k): str(v) for k, v in c.get("options", {}).items()}
+        name = self.tables.get(table, table) if isinstance(self.tables.get(table, table), str) else table
+        made = {
+            "postgres": lambda: {"url": f"jdbc:postgresql://{c['host']}:{c['port']}/{c['database']}", "dbtable": f"{c['schema']}.{name}" if c.get("schema") else name, "driver": TYPES[kind]["driver"]},
+            "duckdb": lambda: {"url": f"jdbc:duckdb:{c['path']}", "dbtable": name, "driver": TYPES[kind]["driver"]},
+            "snowflake": lambda: {"sfURL": c["url"], "sfDatabase": c["database"], "sfSchema": c.get("schema", "PUBLIC"), "dbtable": name},
+            "mongodb": lambda: {"connection.uri": c["url"], "database": c["database"], "collection": name},
+            "opensearch": lambda: {"opensearch.nodes": c["url"], "opensearch.resource": c["index"]},
+        }.get(kind, dict)()
+        login = {"postgres": ("user", "password"), "snowflake": ("sfUser", "sfPassword"), "opensearch": ("opensearch.net.http.auth.user", "opensearch.net.http.auth.pass")}.get(kind, ())
+        return made | {option: str(c[setting]) for option, setting in zip(login, ("user", "password"), strict=False) if c.get(setting)} | own
+
     def scan(self, spark: SparkSession, table: str) -> DataFrame:
         """The table as Spark's reader gives it: columns and filters of a query reach the scan."""
-        if table not in self.tables and "path" not in self.config:
-            raise Refusal("table_not_allowed", table)
-        where = self.tables.get(table, f"{self.config.get('path', '').rstrip('/')}/{table}.parquet")
+        where, about = self.tables.get(table), TYPES[self.source_type]
         if callable(where):
             return where(spark)
-        kind = TYPES[self.source_type]["format"]
-        reader = spark.read.format(kind).options(**{str(k): str(v) for k, v in self.config.get("options", {}).items()})
+        file = self.source_type == "duckdb" and os.path.splitext(str(self.config.get("path", "")))[1] in (".duckdb", ".db")
+        if "driver" in about and (self.source_type != "duckdb" or file):
+            if self.tables and table not in self.tables:
+                raise Refusal("table_not_allowed", table)
+            if not has_class(spark, about["driver"]):
+                raise Refusal("connector_missing", f"{self.source_type}: {about['driver']} is not on the class path")
+            return spark.read.format(about["format"]).options(**self.options(table)).load()
+        if where is None and "path" not in self.config:
+            raise Refusal("table_not_allowed", table)
+        where = where or f"{self.config['path'].rstrip('/')}/{table}.parquet"
+        kind = "parquet" if "driver" in about else about["format"]
+        reader = spark.read.format(kind).options(**self.options(table))
         if kind == "csv":
             reader = reader.option("header", "true")
             if schema := self.config.get("schemas", {}).get(table):
@@ -73,6 +102,15 @@ class Source:
         return {"source_id": self.source_id, "status": "ok", "tables": sorted(self.tables)}
 
 
+def has_class(spark: SparkSession, name: str) -> bool:
+    """Whether the driver's class path has a class."""
+    try:
+        spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(name)
+    except Exception:  # whatever the bridge raises for a missing class
+        return False
+    return True
+
+
 def register_type(name: str, fmt: str, capabilities: Iterable[str], required: Iterable[str] = ()) -> None:
     TYPES[name] = {"format": fmt, "capabilities": tuple(capabilities), "required": tuple(required)}
 
@@ -87,7 +125,7 @@ class Sources:
         """Capability -> ids of available sources."""
         out: dict[str, list[str]] = {}
         for s in self.by_id.values():
-            for c in s.capabilities if s.available else ():
+            for c in s.capabilities if s.readable else ():
                 out.setdefault(c, []).append(s.source_id)
         return {c: sorted(ids) for c, ids in sorted(out.items())}
 
@@ -116,7 +154,7 @@ class Sources:
 
     def listing(self) -> list[dict[str, Any]]:
         """Sources with their secrets left out."""
-        return [{"source_id": s.source_id, "source_type": s.source_type, "available": s.available, "capabilities": list(s.capabilities), "config": redact(s.config)} for s in self.by_id.values()]
+        return [{"source_id": s.source_id, "source_type": s.source_type, "available": s.readable, "capabilities": list(s.capabilities), "config": redact(s.config)} for s in self.by_id.values()]
 
 
 def redact(value: Any) -> Any:
@@ -171,8 +209,12 @@ def load_sources(text: str, folder: str | Path = ".", env: Mapping[str, str] | N
     return Sources(out)
 
 
-def check_config(text: str) -> list[Issue]:
-    """Everything that is wrong with a source configuration."""
+#: Settings that any source may have beside those its type requires.
+COMMON_SETTINGS = frozenset("type tables env available options operations schemas schema user password token secret api_key path url host port database index collection warehouse role account description".split())
+
+
+def check_config(text: str, folder: str | Path | None = None) -> list[Issue]:
+    """Everything that is wrong with a source configuration; with ``folder``, also env files that aren't there."""
     try:
         raw = load_yaml(text)
     except ValueError as e:
@@ -200,6 +242,11 @@ def check_config(text: str) -> list[Issue]:
         for key in TYPES[conf["type"]]["required"]:
             if conf.get(key) in (None, "") and "env" not in conf:
                 out.append(Issue("required_setting_missing", f"{at}.{key}", key))
+        if folder is not None and conf.get("env") and not (Path(folder) / str(conf["env"])).is_file():
+            out.append(Issue("env_file_missing", f"{at}.env", str(conf["env"])))
+        for key in sorted(map(str, conf)):
+            if key not in COMMON_SETTINGS:
+                out.append(Issue("unexpected_setting", f"{at}.{key}", key, "warning"))
         port = conf.get("port")
         if port is not None and not (isinstance(port, int) and 0 < port < 65536 or str(port).startswith("${")):
             out.append(Issue("invalid_port", f"{at}.port", str(port)))
