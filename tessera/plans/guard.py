@@ -18,10 +18,10 @@ from tessera.plans.semantic_plan import clamp
 MUTATING = ("insert", "update", "delete", "drop", "alter", "truncate", "create", "grant", "revoke", "copy", "merge")
 #: Functions that a query may use: pure ones over the rows it reads.
 ALLOWED = frozenset("""
-    any any_value approx_count_distinct array_agg avg bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp every first first_value grouping grouping_id kurtosis last last_value
-    max max_by mean median min min_by mode percentile percentile_approx percentile_cont percentile_disc skewness some std stddev stddev_pop stddev_samp sum try_avg try_sum var_pop var_samp variance
+    any any_value approx_count_distinct array_agg avg bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp every first first_value grouping grouping_id last last_value
+    max max_by mean median min min_by mode percentile percentile_approx percentile_cont percentile_disc some std stddev stddev_pop stddev_samp sum try_avg try_sum var_pop var_samp variance
     cume_dist dense_rank lag lead nth_value ntile percent_rank rank row_number
-    abs acos asin atan atan2 bround cbrt ceil ceiling cos degrees div e exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket
+    abs between bround cbrt ilike like ceil ceiling cos degrees div e exp floor greatest hypot least ln log log10 log2 mod negative pi pmod positive pow power radians round sign signum sin sqrt tan try_add try_divide try_multiply try_subtract width_bucket
     ascii btrim char_length character_length concat concat_ws contains endswith format_number initcap instr lcase left length levenshtein locate lower lpad ltrim octet_length overlay position regexp_count regexp_extract regexp_like
     regexp_replace replace reverse right rlike rpad rtrim split split_part startswith substr substring substring_index translate trim ucase upper
     add_months cast date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear extract hour last_day make_date minute month months_between next_day quarter second timestamp to_date to_timestamp
