@@ -137,10 +137,17 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ranks = F.create_map(*[x for t, k in rank.items() for x in (F.lit(t), F.lit(k))]) if rank else F.create_map().cast("map<string,int>")
     steps = sorted({x.step for x in sets})
-    blocks = docs.where("norm is not null").select("number", "n_words", F.split("norm", " ").alias("w"), F.explode(F.array(*map(F.lit, steps))).alias("step")) if steps else docs.where("false").select("number", "n_words", F.array(F.lit("")).alias("w"), F.lit(1).alias("step"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - F.col("step") - 1, F.lit(0)), F.col("step"))
-    blocks = blocks.withColumn("at", F.explode(starts)).select("number", "step", "at", F.array_intersect(F.slice("w", F.col("at") + 1, 2 * F.col("step")), _strings(domain)).alias("toks"))
-    blocks = blocks.where(F.size("toks") >= min((x.need for x in sets), default=0))
+    least = min((x.need for x in sets), default=0)
+
+    def cut(step: int) -> Column:
+        """Blocks of a step. They are cut out within the row, so that a long text isn't copied for each of them."""
+        starts = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - step - 1, F.lit(0)), F.lit(step))
+        return F.transform(starts, lambda at: F.struct(F.lit(step).alias("step"), at.alias("at"), F.array_intersect(F.slice("w", at + 1, 2 * step), _strings(domain)).alias("toks")))
+
+    texts = docs.where("norm is not null").select("number", "n_words", F.split("norm", " ").alias("w"))
+    none = F.array().cast("array<struct<step:int,at:int,toks:array<string>>>")
+    parts = F.filter(F.concat(none, *[cut(k) for k in steps]), lambda x: F.size(x["toks"]) >= least)
+    blocks = texts.select("number", F.explode(parts).alias("x")).select("number", "x.step", "x.at", "x.toks")
     blocks = blocks.select("number", "step", "at", F.sort_array(F.transform("toks", lambda t: F.element_at(ranks, t))).alias("toks"))
     held = blocks.select("*", F.size("toks").alias("blen"), F.posexplode("toks").alias("bpos", "rank"))
     near = held.join(F.broadcast(index), ["rank", "step"]).where("blen >= need and bpos <= blen - need and least(tlen - tpos, blen - bpos) >= need")
