@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import engine, kernel
-from tessera.decisions import calibration, claims, packs, trust
+from tessera.decisions import calibration, claims, ingest, packs, trust
 from tessera.errors import Refusal
 from tessera.functions.hashing import row_id
 from tessera.metrics import compiler, freshness, lineage
@@ -585,6 +585,23 @@ def _latest(spark, sf_dir):
 _add("latest_override", _latest, "select o_custkey as term, max_by(o_orderkey, (o_orderdate, o_orderkey)) as prior from orders group by 1")
 
 
+def _catalog_edges(spark, sf_dir):
+    """Customers as an export's entities: segments are related to nations, some of which are authored."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nation = F.concat(F.lit("nation:"), "c_nationkey")
+    entities = c.select(F.col("c_custkey").cast("string").alias("urn"), F.col("c_mktsegment").alias("glossaryTerm"), F.array(nation).alias("related"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("team"), F.col("c_nationkey") % 2)).alias("owner"))
+    authored = c.where("c_nationkey < 5").select(F.col("c_mktsegment").alias("from_id"), nation.alias("to_id"), F.lit("authored").alias("kind")).distinct()
+    terms = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("term_id"))
+    edges, clashes = ingest.ingested(authored, entities, terms)
+    return edges.union(clashes.select("term_id", "ref", F.lit("conflict")))
+
+
+_add("catalog_edges", _catalog_edges, """with a as (select distinct c_mktsegment as from_id, 'nation:' || c_nationkey as to_id from customer where c_nationkey < 5),
+    e as (select distinct c_mktsegment as from_id, unnest(case when c_custkey % 3 = 0 then ['nation:' || c_nationkey, 'owner:team' || (c_nationkey % 2)] else ['nation:' || c_nationkey] end) as to_id from customer where c_mktsegment <> 'BUILDING')
+    select *, 'authored' as kind from a union all select *, 'catalog_related' from e where (from_id, to_id) not in (select (from_id, to_id) from a)
+    union all select *, 'conflict' from e where (from_id, to_id) in (select (from_id, to_id) from a)""")
+
+
 def _impacted(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     changed = e.select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_type") == "error", "definition_changed").otherwise("source_refreshed").alias("kind"), F.concat(F.lit("measure:"), F.col("user_id") % 5).alias("ref"), F.col("ts").alias("at"))

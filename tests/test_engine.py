@@ -1,11 +1,13 @@
 """Contracts, plans, metrics, search, federation, evidence, access and decisions on small inputs."""
 
+import json
 from datetime import date, datetime
 
 import pytest
 
+from tessera import catalog, certification
 from tessera.api import Engine, main, rows
-from tessera.decisions import calibration, context, packs, trust
+from tessera.decisions import calibration, context, ingest, packs, proposals, trust
 from tessera.decisions.ledger import Ledger
 from tessera.errors import Clarify, Refusal
 from tessera.functions.periods import period_range
@@ -473,3 +475,61 @@ def test_events_as_a_stream(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("1", "schema_changed", "t")]
+
+
+def test_catalog_export_never_replaces_authored_edges(spark, tmp_path):
+    entities = [
+        {"urn": "a", "glossaryTerm": "revenue", "related": ["table:x", "table:y", None], "owner": "finance"},
+        {"urn": "a", "glossaryTerm": "revenue", "related": ["table:y"], "owner": ""},
+        {"urn": "b", "glossaryTerm": "unknown", "related": ["table:z"]}, {"urn": "c"}, {"urn": "d", "glossaryTerm": "orders", "owner": "sales"},
+    ]
+    terms = spark.createDataFrame([("revenue",), ("orders",), ("orders",)], "term_id string")
+    authored = spark.createDataFrame([("revenue", "table:x", "reads")], "from_id string, to_id string, kind string")
+    for name, whole in (("list", entities), ("object", {"entities": entities})):
+        (tmp_path / name).write_text(json.dumps(whole))
+        edges, clashes = ingest.ingested(authored, ingest.read_export(spark, str(tmp_path / name)), terms)
+        made = {("revenue", "table:x", "reads"), ("revenue", "table:y", "catalog_related"), ("revenue", "owner:finance", "catalog_related"), ("orders", "owner:sales", "catalog_related")}
+        assert sorted(map(tuple, edges.collect())) == sorted(made)
+        assert list(map(tuple, clashes.collect())) == [("revenue", "table:x")]
+    edges, clashes = ingest.ingested(authored, ingest.read_export(spark, str(tmp_path / "list")).limit(0), terms)
+    assert edges.count() == 1 and clashes.count() == 0
+
+
+def test_proposals_are_decided_once(spark, tmp_path):
+    book = Ledger(spark, str(tmp_path / "ledger"))
+    scored = spark.createDataFrame([("revenue", "miss")] * 12 + [("orders", "match")] * 12 + [("buyers", "miss")] * 3, "term string, delta string")
+    [made] = proposals.propose(book, calibration.aggregate(scored, "term"), datetime(2024, 1, 1))
+    assert proposals.overrides(book) == {}
+    for bad, code in ((("art-none", "approved"), "proposal_unknown"), ((made, "perhaps"), "verdict_unknown")):
+        with pytest.raises(Refusal) as e:
+            proposals.decide(book, *bad, "me", datetime(2024, 1, 2))
+        assert e.value.code == code
+    proposals.decide(book, made, "approved", "me", datetime(2024, 1, 2))
+    assert proposals.overrides(book) == {"revenue": {"certified": False}}
+    with pytest.raises(Refusal) as e:
+        proposals.decide(book, made, "rejected", "me", datetime(2024, 1, 3))
+    assert e.value.code == "proposal_decided" and proposals.propose(book, calibration.aggregate(scored.limit(0), "term"), datetime(2024, 1, 4)) == []
+
+
+def test_certification_commands(spark, sf, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    n = compile_metric(catalog.kernel(), lambda t: catalog.contract(sf).table(spark, t), catalog.kernel().metrics["order_count"]).df.first()
+    golden = {"order_count": [{"request": {}, "expected": n.asDict()}]}
+    (tmp_path / "golden").write_text(json.dumps(golden))
+    run = lambda *a: certification.main(a)
+    assert run("certify", "--data", sf, "--golden", at("golden"), "--out", at("made")) == 0
+    assert run("verify", "--certificates", at("made")) == 0
+    wrong = json.loads((tmp_path / "made").read_text())
+    (tmp_path / "old").write_text(json.dumps([{**wrong[0], "definition_hash": "other"}]))
+    assert run("verify", "--certificates", at("old")) == 1
+    golden["order_count"][0]["expected"] = {next(iter(n.asDict())): -1}
+    (tmp_path / "golden").write_text(json.dumps(golden))
+    assert run("certify", "--data", sf, "--golden", at("golden"), "--out", at("made")) == 1
+    spark.createDataFrame([("revenue", "miss")] * 12, "term string, delta string").write.parquet(at("scored"))
+    capsys.readouterr()
+    assert run("propose", "--scored", at("scored"), "--ledger", at("ledger")) == 0
+    [made] = json.loads(capsys.readouterr().out)["proposals"]
+    assert run("approve", made, "--ledger", at("ledger")) == 0 and run("reject", made, "--ledger", at("ledger")) == 1
+    (tmp_path / "terms").write_text(json.dumps({"revenue": {"name": "Revenue", "collection": "shop", "metrics": ["final_sales"], "certified": True}}))
+    assert run("export", "--out", at("model"), "--terms", at("terms"), "--ledger", at("ledger")) == 0
+    assert [t["term_id"] for t in json.loads((tmp_path / "model").read_text())["terms"]] == ["revenue"]
