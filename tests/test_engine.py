@@ -16,7 +16,7 @@ from tessera.metrics.compiler import compile_metric
 from tessera.metrics.freshness import freshness
 from tessera.metrics.resolve import resolve
 from tessera.operators import access, documents, federation, text_search, vector_search
-from tessera.operators.evidence import missing_focus
+from tessera.operators.evidence import closure_issues, missing_focus
 from tessera.plans import contract as contracts
 from tessera.plans import rules
 from tessera.plans.semantic_plan import compile_plan
@@ -533,3 +533,47 @@ def test_certification_commands(spark, sf, tmp_path, capsys):
     (tmp_path / "terms").write_text(json.dumps({"revenue": {"name": "Revenue", "collection": "shop", "metrics": ["final_sales"], "certified": True}}))
     assert run("export", "--out", at("model"), "--terms", at("terms"), "--ledger", at("ledger")) == 0
     assert [t["term_id"] for t in json.loads((tmp_path / "model").read_text())["terms"]] == ["revenue"]
+
+
+def packets(spark, *names):
+    """One packet with every kind of hole under each name."""
+    claims = [("c1", ["e1"], ["w.orders", "w"]), ("c2", ["e9", "e2"], ["w"]), ("c3", [], ["w"]), ("c4", None, None), ("c5", ["e3"], ["x"]), ("c5", ["e3", "d1"], ["y.z"])]
+    cites = [
+        ("e1", "atomic", "w", "p1", [], True), ("e2", "atomic", "w", "p9", [], False), ("e3", "atomic", "y", "p2", [], True), ("e3", "atomic", "y", None, [], True),
+        ("d1", "derived", "f", None, ["e1", "e8"], True), ("d2", "derived", "f", "p7", None, None), ("o1", "other", "w", "p1", [], True), ("o2", None, "w", "p8", [], True),
+    ]
+    envelopes = [("p1", "w", "h1"), ("p2", "w", "h1"), ("p3", "w", "h0")]
+    make = lambda rows, schema: spark.createDataFrame([(n, *r) for n in names for r in rows], f"packet string, {schema}")
+    return (
+        make(claims, "claim_id string, evidence_ids array<string>, source_ids array<string>"),
+        make(cites, "evidence_id string, kind string, source_id string, provenance_id string, supporting_evidence_ids array<string>, may_support_claims boolean"),
+        make(envelopes, "provenance_id string, source_id string, contract_hash string"),
+    )
+
+
+HOLES = sorted([
+    ("duplicate_claim_id", "c5", ""), ("claim_without_evidence", "c3", ""), ("claim_without_evidence", "c4", ""), ("evidence_not_found", "c2", "e9"), ("evidence_not_claim_supporting", "c2", "e2"), ("duplicate_evidence_id", "e3", ""),
+    ("unknown_citation_kind", "o1", "other"), ("unknown_citation_kind", "o2", None), ("provenance_missing", "e3", ""), ("provenance_not_found", "e2", "p9"), ("source_mismatch", "e3", "w"), ("derived_without_support", "d2", ""),
+    ("supporting_evidence_not_found", "d1", "e8"), ("source_not_covered", "c3", "w"), ("source_not_covered", "c5", "x"), ("contract_hash_mismatch", "p3", "h0"),
+], key=str)
+
+
+def test_closure_finds_every_hole_of_a_packet(spark):
+    got = closure_issues(*(df.drop("packet") for df in packets(spark, "a")), "h1")
+    assert got.columns == ["code", "subject", "detail"] and sorted(map(tuple, got.collect()), key=str) == HOLES
+
+
+def test_closure_of_many_packets_looks_up_within_each(spark):
+    got = closure_issues(*packets(spark, "a", "b"), "h1", packet="packet")
+    assert got.columns == ["packet", "code", "subject", "detail"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(n, *h) for n in "ab" for h in HOLES], key=str)
+    claims, cites, envelopes = packets(spark, "a", "b")
+    got = closure_issues(claims.where("packet = 'a' and claim_id = 'c1'"), cites.where("evidence_id = 'e1' and packet = 'b'"), envelopes.where("packet = 'a' and provenance_id <> 'p3'"), "h1", packet="packet")
+    assert sorted(map(tuple, got.collect())) == [
+        ("a", "evidence_not_found", "c1", "e1"), ("a", "source_not_covered", "c1", "w"), ("a", "source_not_covered", "c1", "w.orders"), ("b", "provenance_not_found", "e1", "p1"),
+    ]
+
+
+def test_closure_finds_nothing_for_rows_without_a_packet(spark):
+    got = closure_issues(*(df.where("claim_id = 'c1'" if "claim_id" in df.columns else "evidence_id = 'e1'" if "evidence_id" in df.columns else "provenance_id = 'p1'") for df in packets(spark, None)), "h1", packet="packet")
+    assert sorted((r.code, r.subject) for r in got.collect()) == [("evidence_not_found", "c1"), ("provenance_not_found", "e1"), ("source_not_covered", "c1"), ("source_not_covered", "c1")]
