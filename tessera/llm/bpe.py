@@ -86,8 +86,9 @@ def _chunks(path: str, buckets: int, schema: pa.Schema):
     """Of texts: rows that each hold the places in the dictionary of some texts' words, and for each chunk and bucket a
     row with words and places. Places go by falling frequency in the chunk, so that most are small numbers."""
 
+    added = added_tokens(path)  # splitting needs no more of the tokenizer
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        added = added_tokens(path)
         part = TaskContext.get().partitionId()
         number, size, book, keys, texts = 0, 0, {}, [], []
 
@@ -168,6 +169,8 @@ def _texts(schema: pa.Schema, pieces):
     """Of one chunk's texts and dictionary: ids by position, and the decoded text."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        for cached in (added_tokens, _tokenizer):  # earlier stages' work; this worker goes on to other operators
+            cached.cache_clear()
         edges, blob = pieces.value
         parts = [(np.cumsum(_unpack(a.as_py())[0], dtype=np.int64), _unpack(b.as_py())[0], _unpack(c.as_py())[0]) for a, b, c in zip(words.column("codes"), words.column("counts"), words.column("ids"), strict=True)]
         total = max((int(a.max()) + 1 for a, _, _ in parts if len(a)), default=0)
@@ -188,7 +191,10 @@ def _texts(schema: pa.Schema, pieces):
                 text = blob[_spread(begin, edges[mine] - begin)].tobytes()
                 made.append((len(mine), mine.astype("<u4").tobytes(), text.decode("utf-8", "replace")))
         n, i, t = zip(*made, strict=True) if made else ((), (), ())
-        return pa.table([pa.array(c, k) for c, k in zip((keys, n, i, t), schema.types, strict=True)], schema=schema)
+        out = pa.table([pa.array(c, k) for c, k in zip((keys, n, i, t), schema.types, strict=True)], schema=schema)
+        parts = count = start = ids = keys = made = n = i = t = None
+        give_back()
+        return out
 
     return run
 

@@ -29,8 +29,8 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL, FEWEST = 300, 20_000, 32 << 20, 8
 #: Languages whose trees share a table.
 GROUP = 16
-#: Bytes of text that are scored at once.
-SLICE_BYTES = 1 << 18
+#: Bytes of text that are scored at once; rows that go on together. What a task holds besides its input follows from these.
+SLICE_BYTES, PART_ROWS = 1 << 16, 1024
 #: A text is none of a language's if its code is longer than usual by more than so many standard deviations of the
 #: language's own texts and so many bits a byte, START bits for its first bytes apart.
 DEVIATIONS, EXCESS, START = 6.0, 1.5, 64.0
@@ -269,10 +269,11 @@ def predict(df: DataFrame, languages: Languages, text_col: str = "text") -> Data
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.give_back()  # what an earlier stage's task left in this worker
         m = shared.value
         langs = m.langs
         order = np.argsort(np.array(langs, object), kind="stable")
-        for batch in batches:
+        for batch in (b.slice(k, PART_ROWS) for b in batches for k in range(0, len(b), PART_ROWS)):
             texts = batch.column(where)
             bits = m.lengths(texts)
             best = order[bits[:, order].argmin(1)]

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -340,6 +342,27 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert np.allclose(ppm.code_lengths(model, text), whole, rtol=1e-5)
 
 
+def test_scoring_holds_little_beside_its_input():
+    """Executors have hardly more than their heap and two workers' input left."""
+    rng = random.Random(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    languages = ppm.learn({x: [text(x, 300).encode() for _ in range(4)] for x in ("abcdefgh", "ijklmnop", "qrstuvwx", "efghijkl")})
+    for texts in ([text("abcdijkl", 150) for _ in range(1500)], [text("abcdijkl", 1000) * 150]):
+        tracemalloc.start()
+        languages.lengths(pa.array(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16 << 20
+
+
+def test_languages_are_the_same_in_parts(spark, monkeypatch):
+    df = awkward(spark)
+    rows = lambda: sorted(map(str, ppm.identify_languages(df, df).drop("score", "bits_per_byte").collect()))
+    whole = rows()
+    monkeypatch.setattr(ppm, "PART_ROWS", 2)
+    assert rows() == whole and len(whole) == 16
+
+
 def test_every_label_has_a_model(spark):
     """Seventy languages, and one whose texts are all longer than what is taken of a text."""
     rng = random.Random(2)
@@ -394,6 +417,16 @@ def test_tokens_equal_the_library(spark, monkeypatch):
     assert bpe.encode_decode(empty(spark), path).count() == 0
 
 
+def test_workers_keep_no_tokenizer():
+    """Spark keeps its workers, and what they hold counts against the operators that come next."""
+    path, schema = bpe.default_tokenizer(), pa.schema([("k", pa.list_(pa.int64())), ("n", pa.int64()), ("i", pa.binary()), ("t", pa.string())])
+    assert bpe.added_tokens(path) and bpe._tokenizer.cache_info().currsize
+    none = pa.table({k: pa.array([], pa.binary()) for k in ("keys", "sizes", "codes", "counts", "ids")})
+    pieces = SimpleNamespace(value=(np.zeros(1, np.int64), np.zeros(0, np.uint8)))
+    assert bpe._texts(schema, pieces)(none, none).num_rows == 0
+    assert not bpe._tokenizer.cache_info().currsize and not bpe.added_tokens.cache_info().currsize
+
+
 def test_words_split_where_the_library_may_not_join():
     from tokenizers import Tokenizer
 
